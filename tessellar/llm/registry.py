@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import bpe, media, mixing, secrets
+from tessellar.llm import bpe, media, mixing, secrets, simhash
 from tessellar.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op5_bpe, op8_cube_mixing, op10_media)
+    f.__name__: f for f in (op1_secret_scans, op5_bpe, op6_simhash, op8_cube_mixing, op10_media)
 }
 ORACLES: dict[str, str] = {}
