@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import bpe, media, mixing, secrets, simhash
+from tessellar.llm import bpe, langid, media, mixing, secrets, simhash, toxicity
 from tessellar.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -32,11 +36,15 @@ def op8_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op5_bpe, op6_simhash, op8_cube_mixing, op10_media)
+    f.__name__: f for f in (op1_secret_scans, op3_language, op5_bpe, op6_simhash, op8_cube_mixing, op9_toxicity, op10_media)
 }
 ORACLES: dict[str, str] = {}
