@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import bpe, langid, media, mixing, secrets, simhash, toxicity
+from tessellar.llm import bpe, html, langid, media, mixing, secrets, simhash, toxicity
 from tessellar.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op3_language, op5_bpe, op6_simhash, op8_cube_mixing, op9_toxicity, op10_media)
+    f.__name__: f for f in (op1_secret_scans, op3_language, op5_bpe, op6_simhash, op7_html, op8_cube_mixing, op9_toxicity, op10_media)
 }
 ORACLES: dict[str, str] = {}
