@@ -21,6 +21,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ from tessellar.llm.common import plain, ship
 NO_MERGE = 1 << 30
 #: Largest vocabulary file that is broadcast, and words kept per worker.
 MAX_VOCABULARY_BYTES = 64 << 20
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 MEMO_LENGTH = 64
 #: Texts made of these alone are normalised by Python itself: NFC leaves them as they are
 #: and lower case does not depend on neighbours. Others go through the file's normaliser.
@@ -38,54 +39,64 @@ _OTHER = re.compile("[^\t-\r -ʯ‐-‧]")
 
 
 class PairTree:
-    """Segment tree of ranks: least rank at the root, its leftmost place on demand."""
+    """Segment tree of ranks with wide nodes: least rank at the root, its leftmost place on demand.
+
+    A node keeps ``FAN`` values in one list, so a word of up to ``FAN`` pairs is one node.
+    """
+
+    FAN = 32
 
     def __init__(self, ranks: list[int]):
-        size = 1
-        while size < len(ranks):
-            size *= 2
-        self.size = size
-        self.tree = tree = [NO_MERGE] * size + ranks + [NO_MERGE] * (size - len(ranks))
-        for i in range(size - 1, 0, -1):
-            left, right = tree[2 * i], tree[2 * i + 1]
-            tree[i] = left if left <= right else right
+        self.levels = [ranks]
+        while len(ranks) > self.FAN:
+            ranks = [min(ranks[i : i + self.FAN]) for i in range(0, len(ranks), self.FAN)]
+            self.levels.append(ranks)
 
     def least(self) -> tuple[int, int]:
-        tree, i = self.tree, 1
-        rank = tree[1]
-        while i < self.size:
-            i *= 2
-            if tree[i] != rank:
-                i += 1
-        return rank, i - self.size
+        top = self.levels[-1]
+        rank = min(top)
+        at = top.index(rank)
+        for level in self.levels[-2::-1]:
+            at = level.index(rank, at * self.FAN)
+        return rank, at
 
     def put(self, at: int, rank: int) -> None:
-        tree, i = self.tree, at + self.size
-        tree[i] = rank
-        while i > 1:
-            i //= 2
-            left, right = tree[2 * i], tree[2 * i + 1]
-            low = left if left <= right else right
-            if tree[i] == low:
+        self.levels[0][at] = rank
+        for below, level in zip(self.levels, self.levels[1:], strict=False):
+            at //= self.FAN
+            low = min(below[at * self.FAN : (at + 1) * self.FAN])
+            if level[at] == low:
                 break
-            tree[i] = low
+            level[at] = low
 
 
-def merge_symbols(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply merges (pair -> rank, new id), lowest rank first and leftmost among equals."""
+def merge_symbols(ids: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
+    """Apply merges (pair -> rank, rank -> new id), lowest rank first and leftmost among equals."""
     n = len(ids)
     if n < 2:
         return ids
-    ids = list(ids)
-    none = (NO_MERGE, 0)
-    tree = PairTree([merges.get(p, none)[0] for p in zip(ids, ids[1:], strict=False)])
+    get = ranks.get
+    leaves = [get(p, NO_MERGE) for p in zip(ids, ids[1:], strict=False)]
+    if n <= PairTree.FAN:  # the tree is its root: merged symbols leave it at once
+        while (rank := min(leaves)) != NO_MERGE:
+            i = leaves.index(rank)
+            ids[i] = new = made[rank]
+            del ids[i + 1], leaves[i]
+            if not leaves:
+                break
+            if i < len(leaves):
+                leaves[i] = get((new, ids[i + 1]), NO_MERGE)
+            if i:
+                leaves[i - 1] = get((ids[i - 1], new), NO_MERGE)
+        return ids
+    tree = PairTree(leaves)
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
     while True:
         rank, i = tree.least()
         if rank == NO_MERGE:
             break
         j = after[i]
-        ids[i] = merges[ids[i], ids[j]][1]
+        ids[i] = made[rank]
         ids[j] = -1
         k = after[j]
         after[i] = k
@@ -93,11 +104,11 @@ def merge_symbols(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]
             tree.put(j, NO_MERGE)
         if k < n:
             before[k] = i
-            tree.put(i, merges.get((ids[i], ids[k]), none)[0])
+            tree.put(i, get((ids[i], ids[k]), NO_MERGE))
         else:
             tree.put(i, NO_MERGE)
         if (h := before[i]) >= 0:
-            tree.put(h, merges.get((ids[h], ids[i]), none)[0])
+            tree.put(h, get((ids[h], ids[i]), NO_MERGE))
     return [x for x in ids if x >= 0]
 
 
@@ -109,7 +120,8 @@ class _Memo(dict):
         made = self.make(word)
         if len(word) <= MEMO_LENGTH:
             if len(self) >= MEMO_WORDS:
-                self.clear()
+                for old in [*islice(self, MEMO_WORDS // 2)]:
+                    del self[old]
             self[word] = made
         return made
 
@@ -127,10 +139,12 @@ class Encoder:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in reversed([*enumerate(pairs)])}
+        self.ranks = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in reversed([*enumerate(pairs)])}
+        self.made = [self.vocab[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.packed = {i: struct.pack("<I", i) for i in self.names}
         self.memo = _Memo(self._word)
         known = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
         self.simple = (spec["normalizer"] or {}).get("normalizers") == known
@@ -139,10 +153,18 @@ class Encoder:
 
     def _word(self, word: str) -> tuple[bytes, str]:
         ids: list[int] = []
-        for piece, _ in self.pre.pre_tokenize_str(word):
-            symbols = [*piece[:-1], piece[-1] + self.suffix]
-            ids += merge_symbols([self.vocab[s] for s in symbols if s in self.vocab], self.merges)
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
+        vocab, suffix = self.vocab, self.suffix
+        # ASCII letters alone are one piece, and each its own symbol
+        pieces = [word] if word.isascii() and word.isalpha() else [p for p, _ in self.pre.pre_tokenize_str(word)]
+        for piece in pieces:
+            if (whole := vocab.get(piece + suffix)) is not None and len(piece) == 1:
+                ids.append(whole)
+                continue
+            symbols = [vocab[s] for s in piece[:-1] if s in vocab]
+            if piece[-1] + suffix in vocab:
+                symbols.append(vocab[piece[-1] + suffix])
+            ids += merge_symbols(symbols, self.ranks, self.made)
+        return b"".join([self.packed[i] for i in ids]), " ".join([self.names[i] for i in ids])
 
     def _parts(self, text: str) -> Iterator[tuple[bytes, str]]:
         for part in self.special.split(text) if self.special and "<" in text else (text,):

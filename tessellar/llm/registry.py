@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import bpe, html, langid, media, mixing, secrets, simhash, toxicity
+from tessellar.llm import ann, bpe, html, langid, media, mixing, secrets, simhash, toxicity
 from tessellar.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -49,6 +53,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op3_language, op5_bpe, op6_simhash, op7_html, op8_cube_mixing, op9_toxicity, op10_media)
+    f.__name__: f for f in (op1_secret_scans, op3_language, op4_neighbours, op5_bpe, op6_simhash, op7_html, op8_cube_mixing, op9_toxicity, op10_media)
 }
 ORACLES: dict[str, str] = {}
