@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import ann, bpe, html, langid, media, mixing, secrets, simhash, toxicity
+from tessellar.llm import ann, bpe, html, langid, media, mixing, pii, secrets, simhash, toxicity
 from tessellar.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op3_language, op4_neighbours, op5_bpe, op6_simhash, op7_html, op8_cube_mixing, op9_toxicity, op10_media)
+    f.__name__: f for f in (op1_secret_scans, op2_personal_data, op3_language, op4_neighbours, op5_bpe, op6_simhash, op7_html, op8_cube_mixing, op9_toxicity, op10_media)
 }
 ORACLES: dict[str, str] = {}

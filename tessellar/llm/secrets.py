@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.spans import SPAN, digest_text, find_spans, no_spans, ordered, redact, sha256_hex
+from tessellar.llm.spans import SPAN, digest_text, find_spans, let, no_spans, ordered, redact, sha256_hex
 
 SCALE = 1_000_000
 
@@ -76,7 +76,7 @@ def base_spans(text: Column) -> Column:
 
 def _fold_windows(candidate: Column, alphabet: str, window: int, bits: float) -> Column:
     """Stretches [start, end) of the candidate covered by windows of at least ``bits``."""
-    weight = F.array(*[F.lit(round(SCALE * c * math.log2(c)) if c else 0) for c in range(window + 1)])
+    weight = F.array(*[F.lit(round(SCALE * c * math.log2(c)) if c else 0) for c in range(window + 2)])
     most = round(SCALE * window * (math.log2(window) - bits))
     symbols = F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(alphabet), ch))
     state = F.struct(
@@ -113,14 +113,17 @@ def _fold_windows(candidate: Column, alphabet: str, window: int, bits: float) ->
             closed.alias("out"),
         )
 
-    moves = F.transform(
-        symbols,
-        lambda s, i: F.struct(
-            s.alias("came"),
-            F.when(i >= window, F.element_at(symbols, F.greatest(i - window + 1, F.lit(1)))).otherwise(0).alias("left"),
-            i.alias("i"),
-        ),
-    )
+    def moving(known: Column) -> Column:
+        return F.transform(
+            known,
+            lambda s, i: F.struct(
+                s.alias("came"),
+                F.when(i >= window, F.element_at(known, F.greatest(i - window + 1, F.lit(1)))).otherwise(0).alias("left"),
+                i.alias("i"),
+            ),
+        )
+
+    moves = let(symbols, moving)
     return F.aggregate(
         moves,
         state,
@@ -135,10 +138,7 @@ def entropy_spans(text: Column, base: Column, classes: tuple[EntropyClass, ...]
     """Spans of kind ``entropy``: high-entropy stretches that neither allow list nor base explain."""
     seen = find_spans(text, CANDIDATE, "entropy", 3)
     allowed = "|".join(f"(?:{p})" for p in allow)
-    seen = F.filter(
-        seen,
-        lambda c: ~c["match"].rlike(allowed) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])),
-    )
+    seen = F.filter(seen, lambda c: ~c["match"].rlike(allowed))
 
     def stretches(c: Column) -> Column:
         found = F.array().cast("array<struct<start:int,end:int>>")
@@ -155,7 +155,8 @@ def entropy_spans(text: Column, base: Column, classes: tuple[EntropyClass, ...]
             ).cast(SPAN),
         )
 
-    return F.when(F.size(seen) > 0, F.flatten(F.transform(seen, stretches))).otherwise(no_spans())
+    found = let(seen, lambda c: F.when(F.size(c) > 0, F.flatten(F.transform(c, stretches))).otherwise(no_spans()))
+    return F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
 
 
 def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:

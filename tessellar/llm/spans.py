@@ -18,26 +18,49 @@ def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once; a lambda would repeat an outer expression at each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
 def find_spans(text: Column, pattern: str, kind: str, kind_no: int) -> Column:
-    """All leftmost non-overlapping matches of ``pattern`` as an array of spans."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(
-        F.split(text, pattern, -1),
-        matches,
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
+    """All leftmost non-overlapping matches of ``pattern`` as an array of spans.
+
+    Starts are running sums, taken by blocks of about the square root of the number of
+    matches, so texts with very many matches stay far from quadratic.
+    """
+    seen = F.struct(
+        F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
     )
-    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + pair["gap"]
-        end = at + F.length(pair["hit"])
-        span = F.struct(
-            at.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), pair["hit"].alias("match")
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+    def spans(v: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(v["hits"]))).cast("int")
+        moves = F.zip_with(F.slice(v["gaps"], 1, F.size(v["hits"])), v["hits"], lambda g, h: g + F.length(h))
+        return let(F.struct(v["gaps"].alias("gaps"), v["hits"].alias("hits"), moves.alias("moves"), block.alias("block")), placed)
+
+    def placed(v: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.ceil(F.size(v["hits"]) / v["block"]).cast("int") - 1)
+        sums = F.transform(steps, lambda j: _sum(F.slice(v["moves"], j * v["block"] + 1, v["block"])))
+        heads = let(sums, lambda s: F.transform(steps, lambda j: _sum(F.slice(s, 1, j))))
+
+        def span(heads: Column):
+            def make(hit: Column, i: Column) -> Column:
+                at = F.floor(i / v["block"]).cast("int")
+                start = F.element_at(heads, at + 1) + _sum(F.slice(v["moves"], at * v["block"] + 1, i % v["block"])) + F.element_at(v["gaps"], i + 1)
+                return F.struct(
+                    start.alias("start"), F.lit(kind_no).alias("kind_no"), (start + F.length(hit)).alias("end"), F.lit(kind).alias("kind"), hit.alias("match")
+                )
+
+            return make
+
+        return let(heads, lambda h: F.transform(v["hits"], span(h)))
+
+    return let(seen, lambda v: F.when(F.size(v["hits"]) > 0, spans(v)).otherwise(no_spans()))
 
 
 def ordered(spans: Column) -> Column:
