@@ -155,8 +155,23 @@ def entropy_spans(text: Column, base: Column, classes: tuple[EntropyClass, ...]
             ).cast(SPAN),
         )
 
+    least = min(k.window for k in classes)
+
+    def beside(s: Column) -> Column:
+        """The stretch without what base spans cover at its ends."""
+        met = F.filter(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+        start = F.aggregate(met, s["start"], lambda a, b: F.when(b["start"] <= s["start"], F.greatest(a, b["end"])).otherwise(a))
+        end = F.aggregate(met, s["end"], lambda a, b: F.when(b["start"] > s["start"], F.least(a, b["start"])).otherwise(a))
+        return let(
+            F.struct(start.alias("a"), end.alias("e")),
+            lambda c: F.struct(
+                c["a"].alias("start"), s["kind_no"].alias("kind_no"), c["e"].alias("end"), s["kind"].alias("kind"),
+                F.substring(s["match"], c["a"] - s["start"] + 1, F.greatest(c["e"] - c["a"], F.lit(0))).alias("match"),
+            ).cast(SPAN),
+        )
+
     found = let(seen, lambda c: F.when(F.size(c) > 0, F.flatten(F.transform(c, stretches))).otherwise(no_spans()))
-    return F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    return F.filter(F.transform(found, beside), lambda s: s["end"] - s["start"] >= least)
 
 
 def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
