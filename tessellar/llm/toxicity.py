@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tessellar.llm.common import crc_bucket, plain, ship
 
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
-MAX_CHARS = 20_000
-TRAIN_TOKENS = 500
+MAX_TOXIC, MAX_CLEAN = 800, 1600
+MAX_CHARS = 12_000
+TRAIN_TOKENS = 400
 PREFIXES = (3, 4, 5, 6, 7)
 MAX_FEATURES = 40_000
 STEPS = 25
@@ -126,11 +126,11 @@ def marginals(rows: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _mark(words: list[list[str]], toxic: list[bool]) -> set[str]:
+def _mark(ids: list[np.ndarray], of_word: list[list[str]], toxic: list[bool]) -> set[str]:
     """Features far more frequent in toxic documents than in clean ones."""
     seen = (Counter(), Counter())
-    for ws, y in zip(words, toxic, strict=True):
-        seen[y].update({f for w in set(ws) for f in features(w)})
+    for row, y in zip(ids, toxic, strict=True):
+        seen[y].update({f for w in np.unique(row).tolist() for f in of_word[w]})
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
     least = max(4, 0.01 * n1)
     return {f for f, c in seen[1].items() if c >= least and (c + 0.5) / (n1 + 1) > 4.0 * (seen[0][f] + 0.5) / (n0 + 1)}
@@ -140,21 +140,20 @@ def train(texts: list[str], toxic: list[bool], share: float, steps: int = STEPS)
     """Fit chain and score; ``share`` is the toxic share among all labelled training documents."""
     if not any(toxic) or all(toxic):
         return None
-    whole = [_WORD.findall(t) for t in texts]
-    marked = _mark(whole, toxic)
-    docs = [ws[:TRAIN_TOKENS] for ws in whole]
-    order = sorted((i for i in range(len(docs)) if docs[i]), key=lambda i: -len(docs[i]))
-    if not order:
-        return None
     vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in docs[i]]) for i in order]
+    whole = [np.array([vocabulary.setdefault(w.lower(), len(vocabulary)) for w in _WORD.findall(t)], np.int32) for t in texts]
     of_word = [features(w) for w in vocabulary]
+    marked = _mark(whole, of_word, toxic)
+    order = sorted((i for i in range(len(whole)) if len(whole[i])), key=lambda i: -min(len(whole[i]), TRAIN_TOKENS))
+    if not order:
+        return None
+    ids = [whole[i][:TRAIN_TOKENS] for i in order]
     count = Counter(f for fs in of_word for f in fs)
     kept = {f: k for k, (f, _) in enumerate(sorted(((f, c) for f, c in count.items() if c > 1 or f in marked), key=lambda x: (x[0] not in marked, -x[1], x[0]))[:MAX_FEATURES])}
-    pairs = np.array([(w, kept[f]) for w, fs in enumerate(of_word) for f in fs if f in kept], int).reshape(-1, 2)
+    pairs = np.array([(w, kept[f]) for w, fs in enumerate(of_word) for f in fs if f in kept], np.int32).reshape(-1, 2)
     hit = np.array([any(f in marked for f in fs) for fs in of_word])
     sizes = np.array([len(r) for r in ids])
-    grid = np.zeros((sizes[0], len(ids)), int)
+    grid = np.zeros((sizes[0], len(ids)), np.int32)
     gold = np.zeros(grid.shape)
     for k, (r, i) in enumerate(zip(ids, order, strict=True)):
         grid[: len(r), k] = r
@@ -177,11 +176,10 @@ def train(texts: list[str], toxic: list[bool], share: float, steps: int = STEPS)
         a = np.exp(moves)
         later = inside[1:]
         f0, s1 = fwd[:-1], (x * bwd)[1:]
-        joint = np.stack([np.full(f0.shape, a[0, 0]), a[0, 1] * s1, f0 * a[1, 0], f0 * a[1, 1] * s1])
-        joint = joint / joint.sum(0)
-        y0, y1 = gold[:-1], gold[1:]
-        seen = np.stack([(1 - y0) * (1 - y1), (1 - y0) * y1, y0 * (1 - y1), y0 * y1])
-        g_m = ((joint - seen) * (later * weight)).sum((1, 2))
+        joint = (np.full(f0.shape, a[0, 0]), a[0, 1] * s1, f0 * a[1, 0], f0 * a[1, 1] * s1)
+        whole_mass, y0, y1 = sum(joint), gold[:-1], gold[1:]
+        seen = ((1 - y0) * (1 - y1), (1 - y0) * y1, y0 * (1 - y1), y0 * y1)
+        g_m = np.array([((j / whole_mass - s) * later).sum(0) @ weight for j, s in zip(joint, seen, strict=True)])
         g = np.concatenate([g_w, [by_word.sum()], g_m]) / n * 100
         g[: len(kept)] += 1e-4 * w
         state[0] = 0.9 * state[0] + 0.1 * g
@@ -190,7 +188,8 @@ def train(texts: list[str], toxic: list[bool], share: float, steps: int = STEPS)
         w, bias, moves = w - move[: len(kept)], bias - move[len(kept)], moves - move[len(kept) + 1 :].reshape(2, 2)
     chain = Chain({f: float(w[k]) for f, k in kept.items() if w[k]}, float(bias), moves)
     emit = chain.emissions()
-    marks = marginals([np.array([emit[t] for t in ws]) for ws in whole], moves)
+    e_word = np.array([emit[w] for w in vocabulary])
+    marks = marginals([e_word[row] for row in whole], moves)
     chain.score = _logistic(np.stack([_summary(m) for m in marks]), np.array(toxic, float), share)
     return chain
 
