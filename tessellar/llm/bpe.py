@@ -23,8 +23,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessellar.llm.common import plain, ship
 
@@ -203,33 +205,27 @@ def _broadcast(df: DataFrame, path: str):
 
 def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add ``out``, the ids of each whole text as array<long>."""
-    from pyspark.sql import functions as F
-
     source = _broadcast(df, path)
 
-    def run(col):
+    @F.pandas_udf("array<long>")
+    def run(col: pd.Series) -> pd.Series:
         coder = _encoder(source.value)
         packed = [coder.encode(t or "")[0] for t in col]
-        import pandas as pd
-
         return pd.Series([[*struct.unpack(f"<{len(p) // 4}I", p)] for p in packed])
 
-    return df.withColumn(out, F.pandas_udf(run, "array<long>", F.PandasUDFType.SCALAR)(F.col(f"`{text}`")))
+    return df.withColumn(out, run(F.col(f"`{text}`")))
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``, the decoded text of each id list (null: null)."""
-    from pyspark.sql import functions as F
-
     source = _broadcast(df, path)
 
-    def run(col):
-        import pandas as pd
-
+    @F.pandas_udf("string")
+    def run(col: pd.Series) -> pd.Series:
         coder = _encoder(source.value)
         return pd.Series([None if x is None else coder.decode([*x]) for x in col])
 
-    return df.withColumn(out, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(F.col(f"`{ids}`")))
+    return df.withColumn(out, run(F.col(f"`{ids}`")))
 
 
 def token_digest(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
