@@ -247,3 +247,32 @@ def token_digest(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
             )
 
     return plain(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def token_rows(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids (array<int>) and the digest of the text decoded from them."""
+    source = _broadcast(df, path)
+    names = ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _encoder(source.value)
+        for batch in batches:
+            packed, back, ends = [], [], [0]
+            for t in batch.column("text").to_pylist():
+                ids, decoded = coder.encode(t or "")
+                packed.append(ids)
+                ends.append(ends[-1] + len(ids) // 4)
+                back.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+            flat = pa.py_buffer(b"".join(packed))
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, flat])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([b - a for a, b in zip(ends, ends[1:], strict=False)], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                    pa.array(back, pa.string()),
+                ],
+                names,
+            )
+
+    return plain(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -174,17 +174,17 @@ def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) ->
     """Blocks of the article, in page order, without dropped parts and template subtrees."""
     mains: list[Node] = []
     others: list[Node] = []
-    stack = [(root, False)]
+    stack = [root]
     while stack:
-        node, inside = stack.pop()
-        if node.marked or node.sum in template and not (inside and node.name in FLOW):
+        node = stack.pop()
+        if node.marked or node.sum in template:
             continue
         if node.name == "article":
             mains.append(node)
             continue
         if node.main:
             others.append(node)
-        stack += [(k, inside) for k in reversed(node.kids) if not isinstance(k, str)]
+        stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
     roots = mains or others[:1] or [root]
     blocks: list[str] = []
     run: list[str] = []
