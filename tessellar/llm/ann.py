@@ -33,13 +33,13 @@ from tessellar.llm.common import plain, settle, ship
 
 SAMPLE = 8192
 #: Distinct vectors a part holds on average, up to MAX_PARTS parts; vectors and queries of a block.
-PART = 1500
+PART = 5000
 MAX_PARTS = 512
-BLOCK_VECTORS, BLOCK_QUERIES = 4096, 2048
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 2048
 GRAPH_K = 12
 HIDDEN = 96
 EPOCHS = 25
-SAMPLE_RECALL = 0.98
+SAMPLE_RECALL = 0.95
 SALTS = 64
 
 
@@ -231,7 +231,7 @@ def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
 
     def compare(vectors: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(ask):
-            return pd.DataFrame({"query": [], "rep": [], "score": []}).astype({"query": "int64", "rep": "int64", "score": "float64"})
+            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "minus": pd.Series([], dtype=object), "rep": pd.Series([], dtype=object)})
         vectors = vectors.sort_values("rep", ignore_index=True)
         x, rep = _matrix(vectors["embedding"]), vectors["rep"].to_numpy()
         y, query = _matrix(ask["embedding"]), ask["rep"].to_numpy()
@@ -243,15 +243,17 @@ def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
             score = (x[top] * y[at : at + 256][:, None, :]).sum(2)
             keep = np.lexsort((rep[top], -score), axis=1)[:, : k + 1]
             top, score = np.take_along_axis(top, keep, 1), np.take_along_axis(score, keep, 1)
-            out.append(pd.DataFrame({"query": query[at : at + 256].repeat(top.shape[1]), "rep": rep[top].ravel(), "score": score.ravel()}))
+            out.append(pd.DataFrame({"query": query[at : at + 256], "minus": [*-score], "rep": [*rep[top]]}))
         return pd.concat(out, ignore_index=True)
 
-    near = left.groupBy("part", "v", "q").cogroup(right.groupBy("part", "v", "q")).applyInPandas(compare, "query long, rep long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    near = near.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1)
+    # one row a query and block, with its best classes; a query gathers at most (k + 1) of each
+    near = left.groupBy("part", "v", "q").cogroup(right.groupBy("part", "v", "q")).applyInPandas(compare, "query long, minus array<double>, rep array<long>")
+    hits = F.zip_with("minus", "rep", lambda m, r: F.struct(m.alias("minus"), r.alias("rep")))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list(hits))), 1, k + 1)
+    near = near.groupBy("query").agg(best.alias("best")).select("query", F.explode("best").alias("hit")).select("query", "hit.minus", "hit.rep")
     # classes become ids: at most (k + 1) squared a query before they are cut to k + 1
-    pairs = near.join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
-    found = pairs.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k + 1).alias("found"))
+    pairs = near.join(classes.select("rep", "ids"), "rep").select("query", "minus", F.explode("ids").alias("vec_id"))
+    found = pairs.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("minus", "vec_id"))), 1, k + 1).alias("found"))
     others = F.slice(F.filter("found", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
     hits = asked.join(found, F.col("rep") == F.col("query")).select("query_id", F.posexplode(others).alias("at", "hit"))
     return hits.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
