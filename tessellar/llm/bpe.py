@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import plain, ship
+from tessellar.llm.common import plain, ship, slices
 
 NO_MERGE = 1 << 30
 #: Largest vocabulary file that is broadcast, and words kept per worker.
 MAX_VOCABULARY_BYTES = 64 << 20
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 MEMO_LENGTH = 64
 #: Texts made of these alone are normalised by Python itself: NFC leaves them as they are
 #: and lower case does not depend on neighbours. Others go through the file's normaliser.
@@ -235,7 +235,7 @@ def token_digest(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(source.value)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids, back = [], [], []
             for t in batch.column("text").to_pylist():
                 packed, decoded = coder.encode(t or "")
@@ -256,7 +256,7 @@ def token_rows(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(source.value)
-        for batch in batches:
+        for batch in slices(batches):
             packed, back, ends = [], [], [0]
             for t in batch.column("text").to_pylist():
                 ids, decoded = coder.encode(t or "")

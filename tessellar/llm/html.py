@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessellar.llm.common import plain, ship
+from tessellar.llm.common import plain, ship, slices
 
 MIN_PAGES = 4
 MIN_SHARE = 0.1
@@ -226,7 +226,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
     """(page key, host sum, subtree sum), each sum once a page; subtree sum 0 stands for the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, hosts, sums = [], [], []
             for key, url, page in zip(batch.column("key").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 host = host_of(url)
@@ -241,7 +241,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
 
 def _extract(pages: DataFrame, template) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             own = batch.column("doomed").to_pylist() if "doomed" in batch.schema.names else None
             for i, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import crc_bucket, plain, ship
+from tessellar.llm.common import crc_bucket, plain, ship, slices
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -173,7 +173,7 @@ def predict(df: DataFrame, net: Network | None, doc_id: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         tables = model.tables() if model else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             for i, p in _probabilities(model, tables, texts):
@@ -241,7 +241,7 @@ def keep_identified(df: DataFrame, least: float = LEAST_SCORE, text: str = "text
         model = shared.value
         tables = model.tables() if model else None
         at = None
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(text) if at is None else at
             keep = np.zeros(batch.num_rows, bool)
             for i, p in _probabilities(model, tables, batch.column(at).to_pylist()):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import plain, ship
+from tessellar.llm.common import plain, ship, slices
 
 UNIT = 576
 PAD = b"\xff"
@@ -278,7 +278,7 @@ def media_digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     names = [f.split()[0] for f in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 payload, n = payload_of(text)

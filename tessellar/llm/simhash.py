@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import plain, settle, ship
+from tessellar.llm.common import plain, settle, ship, slices
 from tessellar.llm.graph import components
 
 SHINGLE = 3
@@ -67,7 +67,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
