@@ -169,15 +169,11 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return rows.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def _is(term: str):
-    return lambda w: w == term.lower()
-
-
 def search(docs: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """BM25 over the documents: doc_id and score of the k best (ties: smaller id)."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)[^\w]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(F.col(text)), r"(?U)[^\w]+"), "")
     rows = docs.select(F.col(doc_id).alias("doc_id"), words.alias("__w"))
-    counted = rows.select("doc_id", F.size("__w").alias("length"), *[F.size(F.filter("__w", _is(t))).alias(f"tf{i}") for i, t in enumerate(query)])
+    counted = rows.select("doc_id", F.size("__w").alias("length"), *[(F.size("__w") - F.size(F.array_remove("__w", t.lower()))).alias(f"tf{i}") for i, t in enumerate(query)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(query))])
     score = F.lit(0.0)
     for i in range(len(query)):

@@ -9,7 +9,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessellar.bindings import oracle
 
@@ -21,6 +22,11 @@ FLAGSHIP = "entity_signal_clusters"
 AS_OF = "1998-12-31"
 
 
+def as_of_day() -> Column:
+    """:data:`AS_OF` as a date column (made when asked for: columns need a session)."""
+    return F.lit(AS_OF).cast("date")
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its name, with its oracle if SQL can express it."""
 

@@ -8,9 +8,7 @@ from tessellar.bindings import bind
 from tessellar.functions.scalars import q, quarter_label
 from tessellar.operators import relational as R
 from tessellar.operators import windows as W
-from tessellar.queries import AS_OF, query
-
-DAY = F.lit(AS_OF).cast("date")
+from tessellar.queries import AS_OF, as_of_day, query
 
 
 @query("""select (select cast(count(*) as bigint) from {filings}) as documents, (select cast(count(*) as bigint) from {entities}) as entities,
@@ -117,7 +115,7 @@ def confirmed_quarters(spark, d):
 
 @query(f"""select theme, string_agg(snapshot_date || ':' || doc_count, ' ' order by snapshot_date) as spark from {{snapshots}} where snapshot_date > date '{AS_OF}' - interval 365 day and snapshot_date <= date '{AS_OF}' group by 1""")
 def sparkline(spark, d):
-    rows = bind(spark, d, "snapshots").filter((F.col("snapshot_date") > F.date_sub(DAY, 365)) & (F.col("snapshot_date") <= DAY))
+    rows = bind(spark, d, "snapshots").filter((F.col("snapshot_date") > F.date_sub(as_of_day(), 365)) & (F.col("snapshot_date") <= as_of_day()))
     points = F.transform(F.array_sort(F.collect_list(F.struct("snapshot_date", "doc_count"))), lambda x: F.concat_ws(":", x["snapshot_date"].cast("string"), x["doc_count"].cast("string")))
     return rows.groupBy("theme").agg(F.array_join(points, " ").alias("spark"))
 
@@ -148,9 +146,9 @@ def prediction_accuracy(spark, d):
            when date '{AS_OF}' - first_detected <= 365 then 'Active' else 'Mature' end as freshness, strength_c
            from (select theme, min(snapshot_date) as first_detected, arg_max(strength_c, snapshot_date) as strength_c from {{snapshots}} where snapshot_date <= date '{AS_OF}' and strength_c >= 9000 group by 1) x""")
 def theme_freshness(spark, d):
-    rows = bind(spark, d, "snapshots").filter((F.col("snapshot_date") <= DAY) & (F.col("strength_c") >= 9000))
+    rows = bind(spark, d, "snapshots").filter((F.col("snapshot_date") <= as_of_day()) & (F.col("strength_c") >= 9000))
     rows = rows.groupBy("theme").agg(F.min("snapshot_date").alias("first_detected"), F.max_by("strength_c", "snapshot_date").alias("strength_c"))
-    age = F.datediff(DAY, "first_detected")
+    age = F.datediff(as_of_day(), "first_detected")
     label = F.when(age <= 90, "Fresh").when(age <= 365, "Active").otherwise("Mature")
     return rows.select("theme", "first_detected", age.cast("bigint").alias("age_days"), label.alias("freshness"), "strength_c")
 

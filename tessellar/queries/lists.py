@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from tessellar.bindings import bind
 from tessellar.functions.scalars import q
 from tessellar.operators import relational as R
-from tessellar.queries import AS_OF, query
-
-DAY = F.lit(AS_OF).cast("date")
+from tessellar.queries import AS_OF, as_of_day, query
 
 
 @query("select doc_id, company, filed_at from {filings} where status = 'F' and country = 'ASIA' order by filed_at desc, doc_id limit 100")
@@ -26,7 +24,7 @@ def documents_for_replay(spark, d):
 
 @query(f"select doc_id, status, filed_at from {{filings}} where status in ('F', 'P') and filed_at <= date '{AS_OF}'")
 def documents_as_of(spark, d):
-    return bind(spark, d, "filings").filter(F.col("status").isin("F", "P") & (F.col("filed_at") <= DAY)).select("doc_id", "status", "filed_at")
+    return bind(spark, d, "filings").filter(F.col("status").isin("F", "P") & (F.col("filed_at") <= as_of_day())).select("doc_id", "status", "filed_at")
 
 
 @query("""select cast(m as date) as month_start, cast(m + interval 1 month - interval 1 day as date) as month_end
@@ -133,7 +131,7 @@ def beneficiaries_overlap(spark, d):
 
 @query(f"select theme, company, rank_in_theme from {{beneficiaries}} where first_seen is null or first_seen <= date '{AS_OF}'")
 def beneficiaries_as_of(spark, d):
-    rows = bind(spark, d, "beneficiaries").filter(F.col("first_seen").isNull() | (F.col("first_seen") <= DAY))
+    rows = bind(spark, d, "beneficiaries").filter(F.col("first_seen").isNull() | (F.col("first_seen") <= as_of_day()))
     return rows.orderBy(F.asc_nulls_last("rank_in_theme")).select("theme", "company", "rank_in_theme")
 
 

@@ -8,9 +8,8 @@ from tessellar.bindings import bind, sql
 from tessellar.functions.scalars import amount, q
 from tessellar.operators import intelligence as I
 from tessellar.operators import ranking as K
-from tessellar.queries import AS_OF, query
+from tessellar.queries import AS_OF, as_of_day, query
 
-DAY = F.lit(AS_OF).cast("date")
 
 _THEMES = "select theme, 'confirmed' as conviction, max(company_count) as company_count, case when theme like 'machinery%' then theme || ' shortage' when theme like 'furniture%' then theme || ' wafer' else theme end as name from {snapshots} group by 1"
 _SCORES = f"""select t.theme, t.name, t.company_count, least(1.0, greatest(0.0, m / 10000.0)) as momentum, least(cast(n as double) / mx, 1.0) as persistence, greatest(0.0, 1.0 - (lt - d) / 365.0) as novelty,
@@ -92,7 +91,7 @@ _STATS = f"""select f.company, count(*) as total, count(*) filter (where signal_
                  from (select *, count(*) over () as na from {{beneficiaries}} where country = 'ASIA') b join (select theme, max(company_count) as cc from {{snapshots}} group by 1) t on t.theme = b.theme left join ({_STATS}) s on s.company = b.company) x) y
            order by floor(final_score * 1e6) desc, company limit 50""")
 def india_ranking(spark, d):
-    f = bind(spark, d, "filings").filter((F.col("country") == "ASIA") & F.col("filed_at").between(F.date_sub(DAY, 365), DAY)).select("doc_id", "company")
+    f = bind(spark, d, "filings").filter((F.col("country") == "ASIA") & F.col("filed_at").between(F.date_sub(as_of_day(), 365), as_of_day())).select("doc_id", "company")
     kind = F.col("signal_type")
     stats = bind(spark, d, "signals").join(f, "doc_id").groupBy("company").agg(
         F.count("*").alias("total"), F.count(F.when(kind == "capex_increase", 1)).alias("capex"), F.count(F.when(kind.isin("supply_bottleneck", "inventory_drawdown"), 1)).alias("constraints"),

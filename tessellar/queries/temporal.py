@@ -10,15 +10,13 @@ from tessellar.functions.scalars import q, quarter_index
 from tessellar.operators import intelligence as I
 from tessellar.operators import relational as R
 from tessellar.operators import windows as W
-from tessellar.queries import AS_OF, query
-
-DAY = F.lit(AS_OF).cast("date")
+from tessellar.queries import AS_OF, as_of_day, query
 
 
 @query(f"""select theme, snapshot_date, strength_c, momentum_c from (select *, row_number() over (partition by theme order by snapshot_date desc) r from {{snapshots}}
            where snapshot_date <= date '{AS_OF}') x where r = 1 and strength_c >= 1000""")
 def theme_asof_latest(spark, d):
-    return R.as_of(bind(spark, d, "snapshots"), ["theme"], "snapshot_date", DAY).filter("strength_c >= 1000").select("theme", "snapshot_date", "strength_c", "momentum_c")
+    return R.as_of(bind(spark, d, "snapshots"), ["theme"], "snapshot_date", as_of_day()).filter("strength_c >= 1000").select("theme", "snapshot_date", "strength_c", "momentum_c")
 
 
 @query("select theme, snapshot_date, strength_c from {snapshots} where snapshot_date between date '1997-01-01' and date '1997-12-31'")
@@ -134,7 +132,7 @@ def _momentum_sql(key, src):
 
 @query(_momentum_sql("entity_id", "{signals}"))
 def entity_momentum_30_90(spark, d):
-    rows = W.momentum(bind(spark, d, "signals"), ["entity_id"], "signal_date", DAY)
+    rows = W.momentum(bind(spark, d, "signals"), ["entity_id"], "signal_date", as_of_day())
     return rows.select("entity_id", "recent", "prior", q(F.col("momentum")).alias("momentum"))
 
 
@@ -142,7 +140,7 @@ def entity_momentum_30_90(spark, d):
            from ({_momentum_sql("entity_id", "(select s.* from {signals} s join {entities} e on e.entity_id = s.entity_id where e.entity_type = 'ECONOMY')")}) y order by momentum desc, entity_id limit 20""")
 def accelerating_entities(spark, d):
     e = bind(spark, d, "entities").filter("entity_type = 'ECONOMY'").select("entity_id")
-    rows = W.momentum(bind(spark, d, "signals").join(e, "entity_id"), ["entity_id"], "signal_date", DAY).withColumn("momentum", q(F.col("momentum")))
+    rows = W.momentum(bind(spark, d, "signals").join(e, "entity_id"), ["entity_id"], "signal_date", as_of_day()).withColumn("momentum", q(F.col("momentum")))
     return rows.orderBy(F.desc("momentum"), "entity_id").limit(20).select("entity_id", "momentum", "direction")
 
 
@@ -150,7 +148,7 @@ def accelerating_entities(spark, d):
            {_momentum_sql("company", "(select f.company, s.signal_date from {signals} s join {filings} f on f.doc_id = s.doc_id)")}) m on m.company = b.company) z group by 1""")
 def theme_avg_momentum(spark, d):
     rows = bind(spark, d, "signals").join(bind(spark, d, "filings").select("doc_id", "company"), "doc_id")
-    m = W.momentum(rows, ["company"], "signal_date", DAY).select("company", q(F.col("momentum")).alias("momentum"))
+    m = W.momentum(rows, ["company"], "signal_date", as_of_day()).select("company", q(F.col("momentum")).alias("momentum"))
     return bind(spark, d, "beneficiaries").select("theme", "company").join(m, "company").groupBy("theme").agg(q(F.avg("momentum"), 2).alias("mean_momentum"), F.max("momentum").alias("max_momentum"))
 
 

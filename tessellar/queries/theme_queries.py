@@ -8,9 +8,8 @@ from tessellar.bindings import bind
 from tessellar.config import CONSTRAINT_TIERS, Config
 from tessellar.functions.scalars import first_tier, q
 from tessellar.operators import themes as T
-from tessellar.queries import AS_OF, query
+from tessellar.queries import AS_OF, as_of_day, query
 
-DAY = F.lit(AS_OF).cast("date")
 CFG = Config(max_ubiquity=0.05)
 
 # Facts of the fan-out join, one row a signal, filing and entity, and the clusters over them.
@@ -30,7 +29,7 @@ COLUMNS = ["canonical_name", "entity_type", "n_companies", "n_docs", "quarter_co
 
 
 def _clusters(spark, d):
-    return T.clusters(bind(spark, d, "signals"), bind(spark, d, "filings"), bind(spark, d, "mentions"), bind(spark, d, "entities"), F.date_sub(DAY, 730), DAY, CFG)
+    return T.clusters(bind(spark, d, "signals"), bind(spark, d, "filings"), bind(spark, d, "mentions"), bind(spark, d, "entities"), F.date_sub(as_of_day(), 730), as_of_day(), CFG)
 
 
 @query(f"select {', '.join(COLUMNS)} from ({_CLUSTERS}) c")
