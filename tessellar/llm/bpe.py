@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import plain, ship, slices
+from tessellar.llm.common import plain, ship, slices, spread
 
 NO_MERGE = 1 << 30
 #: Largest vocabulary file that is broadcast, and words kept per worker.
@@ -246,7 +246,7 @@ def token_digest(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names
             )
 
-    return plain(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(plain(df, doc_id=doc_id, text=text)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_rows(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,4 +275,4 @@ def token_rows(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                 names,
             )
 
-    return plain(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    return spread(plain(df, doc_id=doc_id, text=text)).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

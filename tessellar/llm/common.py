@@ -50,6 +50,14 @@ def settle_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of fewer partitions than cores (one small file) as many; all else stays as it is."""
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df  # it shuffles anyway, and counting its partitions would run it
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices, so that few texts exist as Python strings at a time."""
     for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import crc_bucket, plain, ship, slices
+from tessellar.llm.common import crc_bucket, plain, ship, slices, spread
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -182,7 +182,8 @@ def predict(df: DataFrame, net: Network | None, doc_id: str = "doc_id", text: st
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
             )
 
-    return plain(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    rows = plain(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return spread(rows).mapInArrow(
         run, "doc_id long, lang_pred string, score double"
     )
 

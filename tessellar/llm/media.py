@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import plain, ship, slices
+from tessellar.llm.common import plain, ship, slices, spread
 
 UNIT = 576
 PAD = b"\xff"
@@ -301,4 +301,4 @@ def media_digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             if cols:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names)
 
-    return plain(df, doc_id=doc_id, text=text).mapInArrow(run, DIGEST)
+    return spread(plain(df, doc_id=doc_id, text=text)).mapInArrow(run, DIGEST)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import plain, settle, ship, slices
+from tessellar.llm.common import plain, settle, ship, slices, spread
 from tessellar.llm.graph import components
 
 SHINGLE = 3
@@ -71,7 +71,8 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return plain(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = plain(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return spread(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def _split(home: np.ndarray, distance: int) -> tuple[np.uint64, int]:

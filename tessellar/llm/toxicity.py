@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import crc_bucket, plain, ship
+from tessellar.llm.common import crc_bucket, plain, ship, spread
 
 MAX_TOXIC, MAX_CLEAN = 800, 1600
 MAX_CHARS = 12_000
@@ -266,7 +266,8 @@ def score(df: DataFrame, chain: Chain | None, doc_id: str = "doc_id", text: str
                 ["doc_id", "score", "predicted", "spans"],
             )
 
-    return plain(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORES)
+    rows = plain(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return spread(rows).mapInArrow(run, SCORES)
 
 
 def tag(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)) -> DataFrame:
