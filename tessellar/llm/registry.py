@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessellar.llm import ann, bpe, html, langid, media, mixing, pii, secrets, simhash, toxicity
+from tessellar.llm import ann, bpe, html, langid, media, mixing, oracles, pii, secrets, simhash, toxicity
 from tessellar.llm.common import table
 
 
@@ -61,4 +61,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scans, op2_personal_data, op3_language, op4_neighbours, op5_bpe, op6_simhash, op7_html, op8_cube_mixing, op9_toxicity, op10_media)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
