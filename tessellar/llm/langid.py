@@ -28,14 +28,14 @@ from tessellar.llm.common import crc_bucket, plain, ship, slices, spread
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
-FILTERS = 12
+FILTERS = 16
 EMBED = 8
 #: The fit sample: rows a language, windows a row, rows in all, and languages.
-ROWS_PER_LANGUAGE = 400
+ROWS_PER_LANGUAGE = 800
 WINDOWS = 3
 MAX_ROWS = 4000
 MAX_LANGUAGES = 500
-EPOCHS = 10
+EPOCHS = 8
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that belong to letters: ASCII letters and all of multi-byte characters.
@@ -226,7 +226,7 @@ def identify(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
 
 
 #: The pipeline rejects documents without letters, and those whose language stays a guess.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def keep_identified(df: DataFrame, least: float = LEAST_SCORE, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
