@@ -39,5 +39,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-for _name in ("lists", "aggregates", "temporal", "writes", "theme_queries", "ranking_queries", "graphs", "texts", "learned"):
+for _name in ("lists", "aggregates", "temporal", "writes", "theme_queries", "ranking_queries", "graphs", "texts", "more", "learned"):
     importlib.import_module(f"tessellar.queries.{_name}")
