@@ -104,8 +104,8 @@ def theme_scores(themes: DataFrame, snapshots: DataFrame, signal_counts: DataFra
 
 
 def theme_pool(scores: DataFrame, top: int = 15, floor: float = 0.45) -> DataFrame:
-    """The best by rank score, and all of high constraint quality."""
-    place = F.row_number().over(Window.orderBy(F.desc("rank_score"), "theme"))
+    """The best by rank score (to six digits, so sums in another order rank alike), and all of high constraint quality."""
+    place = F.row_number().over(Window.orderBy(F.desc(F.floor(F.col("rank_score") * 1e6)), "theme"))
     return scores.withColumn("__r", place).filter((F.col("__r") <= top) | (F.col("theme_cq") >= floor)).drop("__r")
 
 
@@ -129,9 +129,12 @@ def edges(pool: DataFrame, beneficiaries: DataFrame, counts: DataFrame, edge_lea
     """Company-theme edges with role, relevance edge and constraint-quality edge, gated.
 
     ``beneficiaries``: theme, ticker, company, role, relevance (0 to 100), signal_count,
-    total_signals, rank_in_theme, mention_count, confidence.
+    total_signals (all of the company's, if other than its counted ones), rank_in_theme,
+    mention_count, confidence.
     """
     b = beneficiaries.join(pool.select("theme", "name", "conviction", "theme_cq", "rank_score"), "theme").join(counts, "ticker", "left").fillna(0, [c for c in counts.columns if c != "ticker"])
+    if "total_signals" not in beneficiaries.columns:
+        b = b.withColumn("total_signals", F.col("total"))
     most = b.agg(F.greatest(F.max("signal_count"), F.lit(1)).alias("__ms"), F.greatest(F.max("mention_count"), F.lit(2)).alias("__mm"))
     b = b.crossJoin(F.broadcast(most)).withColumn("hop", hop(F.col("rank_in_theme"))).filter("hop <= 3 or hop = 4")
     stored = F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv]), F.lower("role"))

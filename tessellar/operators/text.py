@@ -16,6 +16,10 @@ REPLACEMENTS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—
 DROPPED_LINE = r"(?imu)^[ \t]*(?:\d{1,4}|page \d+(?: of \d+)?|confidential|draft|private (?:&|and) confidential)[ \t]*$"
 
 
+#: Between words: letters with their marks, digits and underscores belong to words.
+WORD_CUT = r"[^\p{L}\p{M}\p{N}_]+"
+
+
 def normalize(text: Column, least: int = 50) -> Column:
     """Plain quotes and dashes, no page-number or marking lines, folded blanks and breaks, no
     control characters; null below ``least`` characters."""
@@ -69,9 +73,8 @@ def keyword_entities(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id"
     One-word keywords join the documents' distinct words; phrases are looked for in the
     documents that hold their first word. No document meets the whole lexicon.
     """
-    cut = r"(?U)[^\w]+"
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), cut))).alias("__w"))
-    lex = lexicon.withColumn("__k", F.lower("keyword")).withColumn("__h", F.element_at(F.split("__k", cut), 1))
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), WORD_CUT))).alias("__w"))
+    lex = lexicon.withColumn("__k", F.lower("keyword")).withColumn("__h", F.element_at(F.split("__k", WORD_CUT), 1))
     hits = words.join(F.broadcast(lex), F.col("__w") == F.col("__h"))
     whole = F.rlike(F.lower("__t"), F.concat(F.lit(r"(?U)\b\Q"), F.col("__k"), F.lit(r"\E\b")))
     return hits.filter((F.col("__k") == F.col("__h")) | whole).select("doc_id", "keyword", "entity_type").distinct()
@@ -163,7 +166,7 @@ def extract_events(docs: DataFrame, patterns, doc_id: str = "doc_id", text: str
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Inverted index rows (doc_id, term, tf, length)."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)[^\w]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.col(text)), WORD_CUT), lambda w: w != "")
     rows = docs.select(F.col(doc_id).alias("doc_id"), words.alias("__w"))
     rows = rows.select("doc_id", F.size("__w").cast("bigint").alias("length"), F.explode("__w").alias("term"))
     return rows.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
@@ -171,7 +174,7 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def search(docs: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """BM25 over the documents: doc_id and score of the k best (ties: smaller id)."""
-    words = F.array_remove(F.split(F.lower(F.col(text)), r"(?U)[^\w]+"), "")
+    words = F.array_remove(F.split(F.lower(F.col(text)), WORD_CUT), "")
     rows = docs.select(F.col(doc_id).alias("doc_id"), words.alias("__w"))
     counted = rows.select("doc_id", F.size("__w").alias("length"), *[(F.size("__w") - F.size(F.array_remove("__w", t.lower()))).alias(f"tf{i}") for i, t in enumerate(query)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(query))])

@@ -114,20 +114,29 @@ def clusters(signals: DataFrame, filings: DataFrame, mentions: DataFrame, entiti
     )
     docs = filings.filter((F.col("filed_at") >= since) & (F.col("filed_at") <= as_of)).select("doc_id", "company", "filed_at")
     rows = docs.join(per_doc, "doc_id").join(mentions, "doc_id").join(entities.select("entity_id", "canonical_name", "entity_type"), "entity_id")
-    # entities of one name and type are one; a filing counts once for each of its rows, as the m:n join does
-    quarter = F.year("filed_at") * 4 + F.quarter("filed_at")
-    out = rows.groupBy("canonical_name", "entity_type").agg(
-        F.countDistinct("company").alias("n_companies"),
-        F.countDistinct("doc_id").alias("n_docs"),
-        F.countDistinct(quarter).alias("quarter_count"),
-        F.countDistinct(F.when(F.col("filed_at") >= F.date_sub(as_of, cfg.recent_days), F.col("doc_id"))).alias("recent_docs"),
+    # Several distinct counts at once would multiply the rows before the shuffle. Three steps do
+    # not: by filing, by company, by entity, each with partial aggregation.
+    name, counts = ["canonical_name", "entity_type"], [f"n_{k}" for k in kinds]
+    recent = (F.col("filed_at") >= F.date_sub(as_of, cfg.recent_days)).cast("int")
+    by_doc = rows.groupBy(*name, "company", "doc_id").agg(
+        F.max("filed_at").alias("filed_at"), F.sum("n").alias("n"), F.sum("tight").alias("tight"), *[F.sum(c).alias(c) for c in counts]
+    )
+    by_company = by_doc.groupBy(*name, "company").agg(
+        F.count("*").alias("docs"), F.sum(recent).alias("recent"), F.collect_set(F.year("filed_at") * 4 + F.quarter("filed_at")).alias("quarters"),
+        F.min("filed_at").alias("first"), F.max("filed_at").alias("last"), F.sum("n").alias("n"), F.sum("tight").alias("tight"), *[F.sum(c).alias(c) for c in counts],
+    )
+    out = by_company.groupBy(*name).agg(
+        F.count("company").alias("n_companies"),
+        F.sum("docs").alias("n_docs"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("quarters")))).cast("bigint").alias("quarter_count"),
+        F.sum("recent").alias("recent_docs"),
         F.sum("n").alias("total_signals"),
         F.sum("tight").alias("tight_count"),
-        F.min("filed_at").alias("first_date"),
-        F.max("filed_at").alias("last_date"),
-        *[F.sum(f"n_{k}").alias(f"n_{k}") for k in kinds],
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
+        *[F.sum(c).alias(c) for c in counts],
     )
-    total = docs.join(per_doc.select("doc_id"), "doc_id", "left_semi").join(mentions.select("doc_id"), "doc_id", "left_semi").agg(F.countDistinct("company").alias("total_companies"))
+    total = by_company.agg(F.countDistinct("company").alias("total_companies"))
     out = out.crossJoin(F.broadcast(total))  # one row
     ratio = F.col("n_companies") / F.nullif(F.col("total_companies"), F.lit(0))
     capex = F.col("n_capex_increase")

@@ -38,8 +38,7 @@ _POOL = f"select * from (select *, row_number() over (order by floor(rank_score
 
 @query(f"select theme from ({_POOL}) x")
 def theme_pool(spark, d):
-    rows = _scores(spark, d).withColumn("rank_score", F.floor(F.col("rank_score") * 1e6))
-    return K.theme_pool(rows).select("theme")
+    return K.theme_pool(_scores(spark, d)).select("theme")
 
 
 _SIGS = """select f.ticker, count(*) as total, count(*) filter (where signal_type in ('supply_bottleneck', 'capex_increase', 'inventory_drawdown') and direction <> 'negative') as bn,
@@ -59,11 +58,8 @@ def _edges(spark, d):
     f = bind(spark, d, "filings").select("doc_id", "ticker")
     counts = K.company_signals(bind(spark, d, "signals").join(f, "doc_id"))
     b = bind(spark, d, "beneficiaries").withColumn("relevance", F.col("relevance_c") / 100.0).withColumn("role", F.lit(None).cast("string"))
-    totals = counts.select(F.col("ticker").alias("t"), F.col("total").alias("total_signals"))
-    b = b.join(totals, F.col("ticker") == F.col("t"), "left").fillna(0, ["total_signals"]).withColumn("mention_count", F.lit(1)).withColumn("confidence", F.lit(1.0))
-    scores = _scores(spark, d)
-    names = K.theme_pool(scores.withColumn("rank_score", F.floor(F.col("rank_score") * 1e6))).select("theme")
-    return K.edges(scores.join(names, "theme", "left_semi"), b, counts)
+    b = b.withColumn("mention_count", F.lit(1)).withColumn("confidence", F.lit(1.0))
+    return K.edges(K.theme_pool(_scores(spark, d)), b, counts)
 
 
 @query(f"select theme, ticker, role, floor(conf * 1e4 + 0.5) / 1e4 as confidence, floor(edge * 1e4 + 0.5) / 1e4 as edge, floor(edge_cq * 1e4 + 0.5) / 1e4 as edge_cq from ({_EDGE}) x where edge_cq >= 0.02")
