@@ -174,16 +174,23 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def search(docs: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """BM25 over the documents: doc_id and score of the k best (ties: smaller id)."""
-    words = F.array_remove(F.split(F.lower(F.col(text)), WORD_CUT), "")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words.alias("__w"))
-    counted = rows.select("doc_id", F.size("__w").alias("length"), *[(F.size("__w") - F.size(F.array_remove("__w", t.lower()))).alias(f"tf{i}") for i, t in enumerate(query)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(query))])
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))  # not null, else null tests repeat the split
+    rows = docs.select(F.col(doc_id).alias("doc_id"), low.alias("__t"))
+
+    def counted(part: DataFrame) -> DataFrame:
+        part = part.withColumn("__w", F.array_remove(F.split("__t", WORD_CUT), ""))
+        return part.select("doc_id", F.size("__w").alias("length"), *[(F.size("__w") - F.size(F.array_remove("__w", t.lower()))).alias(f"tf{i}") for i, t in enumerate(query)])
+
+    stats = counted(rows).agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(query))])
+    may_hit = F.lit(False)
+    for t in query:
+        may_hit = may_hit | F.contains("__t", F.lit(t.lower()))
     score = F.lit(0.0)
     for i in range(len(query)):
         tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double")
         idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5) + 1.0)
         score = score + idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("length") / F.col("mean")))
-    hits = counted.crossJoin(F.broadcast(stats)).withColumn("score", score).filter("score > 0")
+    hits = counted(rows.filter(may_hit)).crossJoin(F.broadcast(stats)).withColumn("score", score).filter("score > 0")
     return hits.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(k)
 
 
