@@ -48,7 +48,7 @@ def combine_beneficiaries(direct: DataFrame, indirect: DataFrame, cap: int = 60,
     one = Window.partitionBy("theme", "__k", "kind").orderBy(F.desc("relevance"), "company")
     rows = d.unionByName(i).withColumn("__r", F.row_number().over(one)).filter("__r = 1")
     place = Window.partitionBy("theme", "kind").orderBy(F.desc("relevance"), "company")
-    rows = rows.withColumn("rank", F.row_number().over(place).cast("bigint"))
+    rows = rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= max(cap, cap_indirect)).withColumn("rank", F.col("rank").cast("bigint"))
     return rows.filter(F.col("rank") <= F.when(F.col("kind") == "direct", cap).otherwise(cap_indirect)).drop("__k", "__r")
 
 

@@ -216,5 +216,5 @@ def india_ranking(beneficiaries: DataFrame, themes: DataFrame, stats: DataFrame,
     scored = b.withColumn("final_score", score * F.when(relevance == 0, 0.10).otherwise(1.0)).withColumn("supplier_q", quality)
     best = Window.partitionBy(F.lower("company")).orderBy(F.desc("final_score"), "theme")
     one = scored.withColumn("__r", F.row_number().over(best)).filter("__r = 1")
-    place = F.row_number().over(Window.orderBy(F.desc("final_score"), "company")).cast("bigint")
-    return one.select("company", "theme", "role", "supplier_q", "final_score").withColumn("rank", place).filter(F.col("rank") <= limit)
+    top = one.select("company", "theme", "role", "supplier_q", "final_score").orderBy(F.desc("final_score"), "company").limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "company")).cast("bigint"))

@@ -261,7 +261,7 @@ def downstream(primaries: DataFrame, mentions: DataFrame, supply: DataFrame, sha
     met = met.join(F.broadcast(p), "primary_id").filter(F.col("docs") >= F.greatest(F.lit(2.0), F.col("primary_docs") * share))
     out = met.join(supply.filter("supply_signals >= 2"), "entity_id").withColumn("cooccur_pct", F.col("docs") / F.col("primary_docs") * 100.0)
     order = Window.partitionBy("primary_id").orderBy(F.desc("supply_signals"), F.desc("docs"), "entity_id")
-    return out.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= most)
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def edge_kind(supply: Column, capex: Column, pct: Column, known_input: Column | None = None) -> Column:

@@ -50,6 +50,25 @@ def lsh_neighbours(df: DataFrame, key: str, embedding: str, k: int = 10, every:
     return top_k(scored, ["query_id"], k, F.desc("score"), F.col("key")).select("query_id", F.col("key").alias("neighbour_id"), "score", "rank")
 
 
+#: Query vectors that an exact search takes at once.
+MAX_QUERIES = 1000
+
+
+def exact_topk(df: DataFrame, key: str, embedding: str, queries: DataFrame, k: int = 20, least: float | None = None) -> DataFrame:
+    """query, key, score and rank of the k most similar rows by cosine, for a checked small set of queries (query, vector).
+
+    One scan; each task keeps k rows a query before the shuffle. Scores are compared to nine digits, ties by key.
+    """
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"over {MAX_QUERIES} queries")
+    rows = df.select(F.col(key).alias("key"), F.col(embedding).alias("e")).crossJoin(F.broadcast(queries.select("query", "vector")))
+    rows = rows.withColumn("score", cosine(F.col("vector"), F.col("e"))).filter("score is not null")
+    if least is not None:
+        rows = rows.filter(F.col("score") >= least)
+    rows = rows.select("query", "key", "score", F.floor(F.col("score") * 1e9).alias("o"))
+    return top_k(rows, ["query"], k, F.desc("o"), F.col("key")).drop("o")
+
+
 def kmeans(df: DataFrame, key: str, embedding: str, k: int, seed: int = 42) -> DataFrame:
     """Cluster of each row."""
     rows = df.select(F.col(key).alias("key"), array_to_vector(F.col(embedding)).alias("features"))

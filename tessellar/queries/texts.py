@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tessellar.bindings import bind
 from tessellar.functions import scalars as S
 from tessellar.operators import intelligence as I
-from tessellar.operators import relational as R
 from tessellar.operators import text as T
+from tessellar.operators import vectors as V
 from tessellar.queries import query
 
 
@@ -103,18 +103,21 @@ def company_roles(spark, d):
     return bind(spark, d, "documents").select("doc_id", F.explode(I.roles(F.col("text"))).alias("r")).select("doc_id", "r.role")
 
 
-_DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double)))"
+_CENTRE = "select label, list(m order by pos) as c from (select label, pos, floor(avg(x) * 1e5 + 0.5) / 1e5 as m from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from {embeddings}) y group by 1, 2) z group by 1"
+_DOT = "list_sum(list_transform(list_zip(a.c, b.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double)))"
+_SIZE = "list_sum(list_transform({}, lambda p: cast(p as double) * cast(p as double)))"
+_COS = f"{_DOT} / (sqrt({_SIZE.format('a.c')}) * sqrt({_SIZE.format('b.embedding')}))"
 
 
-@query(f"""select query_id, vec_id, floor(score * 1e6 + 0.5) / 1e6 as score from (select a.vec_id as query_id, b.vec_id, {_DOT} / (sqrt({_DOT.replace('b.', 'a.')}) * sqrt({_DOT.replace('a.', 'b.')})) as score, row_number() over (partition by a.vec_id order by floor({_DOT} / (sqrt({_DOT.replace('b.', 'a.')}) * sqrt({_DOT.replace('a.', 'b.')})) * 1e9) desc, b.vec_id) as r
-           from {{embeddings}} a join {{embeddings}} b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id) x where r <= 10""")
+@query(f"""select label, vec_id, floor(score * 1e6 + 0.5) / 1e6 as score, rank from (select a.label, b.vec_id, {_COS} as score, row_number() over (partition by a.label order by floor({_COS} * 1e9) desc, b.vec_id) as rank
+           from {{embeddings}} b, ({_CENTRE}) a) x where rank <= 20""")
 def cosine_topk(spark, d):
-    """Exact: a stated set of queries (bounded by its broadcast) against all vectors."""
-    e = bind(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    rows = e.join(asked, F.col("vec_id") != F.col("query_id")).withColumn("score", S.cosine(F.col("qe"), F.col("embedding")))
-    rows = rows.withColumn("o", F.floor(F.col("score") * 1e9))
-    return R.top_k(rows, ["query_id"], 10, F.desc("o"), F.col("vec_id")).select("query_id", "vec_id", S.q(F.col("score"), 6).alias("score"))
+    """The vectors nearest to each label's centroid."""
+    e = bind(spark, d, "embeddings")
+    parts = e.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(S.q(F.avg(F.col("x").cast("double")), 5).alias("m"))
+    centres = parts.groupBy(F.col("label").alias("query")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
+    out = V.exact_topk(e, "vec_id", "embedding", centres, 20)
+    return out.select(F.col("query").alias("label"), F.col("key").alias("vec_id"), S.q(F.col("score"), 6).alias("score"), "rank")
 
 
 @query("""select label, pos, floor(avg(x) * 1e5 + 0.5) / 1e5 as mean from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from {embeddings}) y where pos < 8 group by 1, 2""")
