@@ -3,37 +3,34 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, CountVectorizer, HashingTF
+from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, CountVectorizer, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.functions.scalars import cosine, dot
+from tessellar.functions.scalars import cosine
 from tessellar.operators.relational import top_k
 from tessellar.operators.text import chunks
 
 
-def unit(v: Column) -> Column:
-    """The vector over its length; a zero vector stays."""
-    size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x))
-
-
 def embed(docs: DataFrame, doc_id: str, text: str, dim: int = 64) -> DataFrame:
-    """Deterministic stand-in for a sentence encoder: hashed words by chunk, mean-pooled, unit length."""
+    """Deterministic stand-in for a sentence encoder: hashed words by chunk, mean-pooled, unit length.
+
+    Chunks are pooled as vectors, so a document shuffles one row a task. A document without words has no row.
+    """
     parts = docs.select(F.col(doc_id).alias("doc_id"), F.explode(chunks(F.col(text))).alias("chunk"))
-    words = parts.withColumn("words", F.split(F.lower("chunk"), r"\s+"))
+    words = parts.select("doc_id", F.split(F.lower("chunk"), r"\s+").alias("words"))
     hashed = HashingTF(numFeatures=dim, inputCol="words", outputCol="tf").transform(words)
-    rows = hashed.select("doc_id", F.posexplode(unit(vector_to_array("tf"))).alias("at", "x"))
-    pooled = rows.groupBy("doc_id", "at").agg(F.avg("x").alias("x"))
-    vector = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"])
-    return pooled.groupBy("doc_id").agg(vector.alias("v")).select("doc_id", unit(F.col("v")).alias("embedding"))
+    level = Normalizer(inputCol="tf", outputCol="u").transform(hashed)
+    pooled = level.groupBy("doc_id").agg(Summarizer.mean(F.col("u")).alias("v"))
+    return Normalizer(inputCol="v", outputCol="e").transform(pooled).select("doc_id", vector_to_array("e").alias("embedding"))
 
 
 def centroid(df: DataFrame, keys: list[str], embedding: str) -> DataFrame:
-    """Mean vector of each key."""
-    rows = df.select(*keys, F.posexplode(embedding).alias("__at", "__x")).groupBy(*keys, "__at").agg(F.avg(F.col("__x").cast("double")).alias("__x"))
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__x"))), lambda s: s["__x"]).alias("centroid"))
+    """Mean vector of each key, pooled as vectors."""
+    rows = df.select(*keys, array_to_vector(F.transform(embedding, lambda x: x.cast("double"))).alias("__v"))
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("__v"))).alias("centroid"))
 
 
 def lsh_neighbours(df: DataFrame, key: str, embedding: str, k: int = 10, every: int = 20, width: float = 1.0, tables: int = 8, seed: int = 42) -> DataFrame:
