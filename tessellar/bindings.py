@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -19,7 +20,7 @@ BINDINGS = {
     # filing = order, company = customer, sector = nation, country = region
     "filings": """
         select o_orderkey as doc_id, c_name as company, concat('T', cast(c_custkey as varchar(20))) as ticker, n_name as sector,
-               r_name as country, cast(o_orderdate as date) as filed_at, o_orderpriority as filing_type, o_orderstatus as status,
+               r_name as country, cast(o_orderdate as date) as filed_at, o_orderdate as filed_ts, o_orderpriority as filing_type, o_orderstatus as status,
                cast(floor(o_totalprice) as bigint) as word_count, c_mktsegment as segment
         from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
              join {region} on n_regionkey = r_regionkey""",
@@ -35,7 +36,7 @@ BINDINGS = {
                     else 'regulatory_tailwind' end as signal_type,
                case when l_discount >= 0.05 then 'positive' else 'negative' end as direction,
                cast(round(l_discount * 1000) as bigint) as confidence_pm, cast(round(l_extendedprice * 100) as bigint) as cents,
-               cast(l_shipdate as date) as signal_date, l_suppkey as supplier_id
+               cast(l_shipdate as date) as signal_date, l_shipdate as signal_ts, l_suppkey as supplier_id
         from {lineitem}""",
     # theme = (segment, nation); a snapshot a month
     "snapshots": """
@@ -70,6 +71,12 @@ def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sql(spark, sf_dir, BINDINGS[name])
 
 
+def window(df: DataFrame, low: str | None, high: str, ts: str = "filed_ts") -> DataFrame:
+    """Rows of the days [low, high], tested on the stored timestamp so that the scan skips row groups."""
+    keep = F.col(ts) < F.date_add(F.lit(high).cast("date"), 1).cast("timestamp_ntz")
+    return df.filter(keep if low is None else keep & (F.col(ts) >= F.lit(low).cast("date").cast("timestamp_ntz")))
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run SQL whose ``{name}`` are bindings."""
     return spark.sql(text, **{n: bind(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellar.bindings import bind
+from tessellar.bindings import bind, window
 from tessellar.functions.scalars import q
 from tessellar.operators import graph as G
 from tessellar.queries import query
@@ -95,7 +95,7 @@ def facts_valid_at(spark, d):
 
 @query("""select f.company, f.sector as theme, cast(count(*) as bigint) as mentions from {filings} f where f.filed_at between date '1998-04-01' and date '1998-06-30' group by 1, 2""")
 def quarter_graph_snapshot(spark, d):
-    rows = bind(spark, d, "filings").filter("filed_at between date '1998-04-01' and date '1998-06-30'")
+    rows = window(bind(spark, d, "filings"), "1998-04-01", "1998-06-30")
     return rows.groupBy("company", F.col("sector").alias("theme")).agg(F.count("*").alias("mentions"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellar.bindings import bind
+from tessellar.bindings import bind, window
 from tessellar.functions.scalars import q
 from tessellar.operators import relational as R
 from tessellar.queries import AS_OF, as_of_day, query
@@ -18,13 +18,13 @@ def documents_by_status(spark, d):
 
 @query("select doc_id, filed_at from {filings} where status = 'F' and filed_at between date '1997-01-01' and date '1997-06-30' order by filed_at, doc_id limit 500")
 def documents_for_replay(spark, d):
-    rows = R.optional(bind(spark, d, "filings"), F.col("filed_at").between("1997-01-01", "1997-06-30"), status="F")
+    rows = R.optional(window(bind(spark, d, "filings"), "1997-01-01", "1997-06-30"), status="F")
     return rows.orderBy("filed_at", "doc_id").limit(500).select("doc_id", "filed_at")
 
 
 @query(f"select doc_id, status, filed_at from {{filings}} where status in ('F', 'P') and filed_at <= date '{AS_OF}'")
 def documents_as_of(spark, d):
-    return bind(spark, d, "filings").filter(F.col("status").isin("F", "P") & (F.col("filed_at") <= as_of_day())).select("doc_id", "status", "filed_at")
+    return window(bind(spark, d, "filings"), None, AS_OF).filter(F.col("status").isin("F", "P")).select("doc_id", "status", "filed_at")
 
 
 @query("""select cast(m as date) as month_start, cast(m + interval 1 month - interval 1 day as date) as month_end
@@ -144,7 +144,7 @@ def multi_quarter_semi(spark, d):
 
 @query("select c_name as company from {customer} where c_name not in (select company from {filings} where filed_at >= date '2000-06-01')")
 def anti_without_filings(spark, d):
-    seen = bind(spark, d, "filings").filter("filed_at >= date '2000-06-01'").select("company")
+    seen = window(bind(spark, d, "filings"), "2000-06-01", "9999-12-30").select("company")
     return bind(spark, d, "customer").select(F.col("c_name").alias("company")).join(seen, "company", "left_anti")
 
 

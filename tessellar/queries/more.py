@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellar.bindings import bind, sql
+from tessellar.bindings import bind, sql, window
 from tessellar.functions.scalars import q
 from tessellar.operators import intelligence as I
 from tessellar.operators import tracking as K
@@ -70,7 +70,7 @@ def macro_event_match(spark, d):
           floor(count(*) / greatest(ceil((max(day) - min(day) + 1) / 30.0), 1) * 1e4 + 0.5) / 1e4 as velocity, count(distinct sector) >= 3 as confirmed
           from (select filing_type as n, company, sector, filed_at as day from {filings} where filed_at between date '1998-01-01' and date '1998-02-28') x group by 1""")
 def narrative_spread(spark, d):
-    f = bind(spark, d, "filings").filter("filed_at between date '1998-01-01' and date '1998-02-28'")
+    f = window(bind(spark, d, "filings"), "1998-01-01", "1998-02-28")
     out = K.narrative_spread(f.select(F.col("filing_type").alias("narrative"), "company", "sector", F.col("filed_at").alias("day")))
     return out.select("narrative", "origin", "first_day", F.array_join("sectors", ",").alias("sectors"), "companies", q(F.col("velocity")).alias("velocity"), "confirmed")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellar.bindings import bind, sql
+from tessellar.bindings import bind, sql, window
 from tessellar.functions.scalars import amount, q
 from tessellar.operators import intelligence as I
 from tessellar.operators import ranking as K
@@ -87,7 +87,7 @@ _STATS = f"""select f.company, count(*) as total, count(*) filter (where signal_
                  from (select *, count(*) over () as na from {{beneficiaries}} where country = 'ASIA') b join (select theme, max(company_count) as cc from {{snapshots}} group by 1) t on t.theme = b.theme left join ({_STATS}) s on s.company = b.company) x) y
            order by floor(final_score * 1e6) desc, company limit 50""")
 def india_ranking(spark, d):
-    f = bind(spark, d, "filings").filter((F.col("country") == "ASIA") & F.col("filed_at").between(F.date_sub(as_of_day(), 365), as_of_day())).select("doc_id", "company")
+    f = window(bind(spark, d, "filings"), "1997-12-31", AS_OF).filter("country = 'ASIA'").select("doc_id", "company")
     kind = F.col("signal_type")
     stats = bind(spark, d, "signals").join(f, "doc_id").groupBy("company").agg(
         F.count("*").alias("total"), F.count(F.when(kind == "capex_increase", 1)).alias("capex"), F.count(F.when(kind.isin("supply_bottleneck", "inventory_drawdown"), 1)).alias("constraints"),
@@ -102,7 +102,7 @@ _FACT = "select e.canonical_name as entity, s.signal_type, f.company, f.filed_at
 
 
 def _facts(spark, d):
-    f = bind(spark, d, "filings").filter("filed_at between date '1997-01-01' and date '1998-12-31'").select("doc_id", "company", F.col("filed_at").alias("day"))
+    f = window(bind(spark, d, "filings"), "1997-01-01", "1998-12-31").select("doc_id", "company", F.col("filed_at").alias("day"))
     e = bind(spark, d, "entities").select("entity_id", F.col("canonical_name").alias("entity"))
     return bind(spark, d, "signals").select("doc_id", "entity_id", "signal_type").join(f, "doc_id").join(e, "entity_id")
 
@@ -297,9 +297,9 @@ _YOY = """select f.sector, f.company, f.doc_id, f.filed_at, s.inv from {filings}
            from (select *, case when p = 0 then 200.0 else floor((r / cast(p as double) - 1.0) * 100.0 + 0.5) end as velocity_pct from (select sector, count(distinct company) as n, count(distinct doc_id) as docs, sum(case when filed_at >= date '1998-12-31' - 180 then inv else 0 end) as r, sum(case when filed_at between date '1998-12-31' - 545 and date '1998-12-31' - 365 then inv else 0 end) as p
                  from ({_YOY}) x where company in (select company from ({_YOY}) y group by 1 having sum(inv) >= 3 and sum(case when filed_at >= date '1998-12-31' - 180 then inv else 0 end) >= 1) group by 1) z, (select count(distinct doc_id) as alldocs from ({_YOY}) w) g) v where n >= 3 and r >= 5""")
 def exploding_yoy(spark, d):
-    day = F.lit("1998-12-31").cast("date")
+    day = as_of_day()
     inv = bind(spark, d, "signals").groupBy("doc_id").agg(F.count(F.when(F.col("signal_type").isin("demand_surge", "capex_increase"), 1)).alias("inv"))
-    f = bind(spark, d, "filings").filter(F.col("filed_at").between(F.date_sub(day, 730), day)).select("doc_id", "sector", "company", "filed_at").join(inv, "doc_id")
+    f = window(bind(spark, d, "filings"), "1996-12-31", AS_OF).select("doc_id", "sector", "company", "filed_at").join(inv, "doc_id")
     recent = F.sum(F.when(F.col("filed_at") >= F.date_sub(day, 180), F.col("inv")).otherwise(0))
     active = f.groupBy("company").agg(F.sum("inv").alias("a"), recent.alias("b")).filter("a >= 3 and b >= 1")
     prior = F.sum(F.when(F.col("filed_at").between(F.date_sub(day, 545), F.date_sub(day, 365)), F.col("inv")).otherwise(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessellar.bindings import bind
+from tessellar.bindings import bind, window
 from tessellar.functions.scalars import q, quarter_index
 from tessellar.operators import intelligence as I
 from tessellar.operators import relational as R
@@ -186,7 +186,7 @@ def topics_over_time(spark, d):
             on f.filed_at <= cast(last_day(m) as date) and f.filed_at > cast(last_day(m) as date) - 180 group by 1, 2""".replace("cast(m as date)", "cast(last_day(m) as date)"))
 def monthly_replay(spark, d):
     """All as-of dates in one job. A filing belongs to at most seven of them, so dates are exploded from it: an equi-aggregation, no range join."""
-    f = bind(spark, d, "filings").filter("filed_at > date '1996-07-01' and filed_at <= date '1997-12-31'")
+    f = window(bind(spark, d, "filings"), "1996-07-02", "1997-12-31")
     months = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.last_day(F.add_months(F.trunc("filed_at", "month"), k)))
     rows = f.withColumn("as_of", F.explode(months)).filter("as_of between date '1997-01-31' and date '1997-12-31' and filed_at > date_sub(as_of, 180) and filed_at <= as_of")
     return rows.groupBy("as_of", "sector").agg(F.count("*").alias("docs"), F.countDistinct("company").alias("companies"))
@@ -194,7 +194,7 @@ def monthly_replay(spark, d):
 
 @query("""select cast(year(filed_at) as bigint) as yr, sector, cast(count(*) as bigint) as docs, max(filed_at) as last_filed from {filings} where filed_at <= date '1999-06-30' group by 1, 2""")
 def yearly_replay(spark, d):
-    rows = bind(spark, d, "filings").filter("filed_at <= date '1999-06-30'")
+    rows = window(bind(spark, d, "filings"), None, "1999-06-30")
     return rows.groupBy(F.year("filed_at").cast("bigint").alias("yr"), "sector").agg(F.count("*").alias("docs"), F.max("filed_at").alias("last_filed"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
-from tessellar.bindings import bind
+from tessellar.bindings import bind, window
 from tessellar.config import CONSTRAINT_TIERS, Config
 from tessellar.functions.scalars import first_tier, q
 from tessellar.operators import themes as T
@@ -29,7 +31,8 @@ COLUMNS = ["canonical_name", "entity_type", "n_companies", "n_docs", "quarter_co
 
 
 def _clusters(spark, d):
-    return T.clusters(bind(spark, d, "signals"), bind(spark, d, "filings"), bind(spark, d, "mentions"), bind(spark, d, "entities"), F.date_sub(as_of_day(), 730), as_of_day(), CFG)
+    filings = window(bind(spark, d, "filings"), str(datetime.date.fromisoformat(AS_OF) - datetime.timedelta(days=730)), AS_OF)
+    return T.clusters(bind(spark, d, "signals"), filings, bind(spark, d, "mentions"), bind(spark, d, "entities"), F.date_sub(as_of_day(), 730), as_of_day(), CFG)
 
 
 @query(f"select {', '.join(COLUMNS)} from ({_CLUSTERS}) c")
@@ -164,7 +167,7 @@ def stage_classify(spark, d):
 
 
 def _staged(spark, d):
-    f = bind(spark, d, "filings").filter("segment = 'FURNITURE' and filed_at between date '1998-01-01' and date '1998-01-31'").select("doc_id", "sector", "country", "company")
+    f = window(bind(spark, d, "filings"), "1998-01-01", "1998-01-31").filter("segment = 'FURNITURE'").select("doc_id", "sector", "country", "company")
     kind = F.col("signal_type")
     rows = bind(spark, d, "signals").join(f, "doc_id").groupBy("sector", "country").agg(
         F.countDistinct("company").alias("companies"), (F.sum("cents") % 10000 / 100.0).alias("strength"), (F.sum("cents") % 9000 / 90.0).alias("momentum"),
