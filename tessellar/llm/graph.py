@@ -10,13 +10,14 @@ from tessellar.llm.common import settle
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v"), F.col("u")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    # settled, the small side meets the join as a plain shuffle: only so can a hot node's rows be split
+    least = settle(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = settle(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -31,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     state = settle(edges.filter("u <> v").select("u", "v").distinct())
     mark = None
     for _ in range(rounds):
-        state = settle(_small_star(_large_star(state)))
+        state = settle(_small_star(settle(_large_star(state))))
         seen = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
