@@ -33,7 +33,7 @@ from tessellar.llm.common import plain, ship, slices, spread
 NO_MERGE = 1 << 30
 #: Largest vocabulary file that is broadcast, and words kept per worker.
 MAX_VOCABULARY_BYTES = 64 << 20
-MEMO_WORDS = 250_000
+MEMO_WORDS = 350_000
 MEMO_LENGTH = 64
 #: Texts made of these alone are normalised by Python itself: NFC leaves them as they are
 #: and lower case does not depend on neighbours. Others go through the file's normaliser.
@@ -154,18 +154,22 @@ class Encoder:
             raise ValueError("only vocabulary files with this normaliser, plain added tokens and no decoder are supported")
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        ids: list[int] = []
-        vocab, suffix = self.vocab, self.suffix
         # ASCII letters alone are one piece, and each its own symbol
-        pieces = [word] if word.isascii() and word.isalpha() else [p for p, _ in self.pre.pre_tokenize_str(word)]
-        for piece in pieces:
-            if (whole := vocab.get(piece + suffix)) is not None and len(piece) == 1:
-                ids.append(whole)
-                continue
-            symbols = [vocab[s] for s in piece[:-1] if s in vocab]
-            if piece[-1] + suffix in vocab:
-                symbols.append(vocab[piece[-1] + suffix])
-            ids += merge_symbols(symbols, self.ranks, self.made)
+        if word.isascii() and word.isalpha():
+            return self._piece(word)
+        pieces = self.pre.pre_tokenize_str(word)
+        if len(pieces) == 1:
+            return self._piece(pieces[0][0])
+        # pieces met before, alone or beside other marks, are in the memo
+        made = [self.memo[word[a:b]] for _, (a, b) in pieces]
+        return b"".join([m[0] for m in made]), " ".join([m[1] for m in made])
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        vocab, last = self.vocab, piece[-1] + self.suffix
+        ids = [vocab[s] for s in piece[:-1] if s in vocab]
+        if last in vocab:
+            ids.append(vocab[last])
+        ids = merge_symbols(ids, self.ranks, self.made)
         return b"".join([self.packed[i] for i in ids]), " ".join([self.names[i] for i in ids])
 
     def _parts(self, text: str) -> Iterator[tuple[bytes, str]]:
