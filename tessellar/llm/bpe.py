@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import plain, ship, slices, spread
+from tessellar.llm.common import plain, ship, slices, small_batches, spread
 
 NO_MERGE = 1 << 30
 #: Largest vocabulary file that is broadcast, and words kept per worker.
 MAX_VOCABULARY_BYTES = 64 << 20
-MEMO_WORDS = 350_000
+MEMO_WORDS = 150_000
 MEMO_LENGTH = 64
 #: Texts made of these alone are normalised by Python itself: NFC leaves them as they are
 #: and lower case does not depend on neighbours. Others go through the file's normaliser.
@@ -200,6 +200,7 @@ def _encoder(source: str) -> Encoder:
 
 def _broadcast(df: DataFrame, path: str):
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         source = f.read()
     if len(source) > MAX_VOCABULARY_BYTES:

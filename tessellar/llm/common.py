@@ -29,6 +29,17 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+#: Rows of an Arrow batch where the session keeps Spark's default: whole texts make batches large.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of Arrow batches from the default, so that few texts are in flight at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's folder under ``spark.checkpoint.dir``; one is made only where none is named, as in tests."""
     sc = spark.sparkContext

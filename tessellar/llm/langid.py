@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import crc_bucket, plain, ship, slices, spread
+from tessellar.llm.common import crc_bucket, plain, ship, slices, small_batches, spread
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -168,6 +168,7 @@ def fit_sample(docs: DataFrame, trains: Column) -> tuple[list[str], list[str]]:
 def predict(df: DataFrame, net: Network | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row's whole text."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +237,7 @@ def keep_identified(df: DataFrame, least: float = LEAST_SCORE, text: str = "text
     """
     net = train(*fit_sample(plain(df, doc_id=doc_id, text=text, lang=lang), crc_bucket(F.col("doc_id"), 4) != 2))
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import plain, settle, ship, slices, spread
+from tessellar.llm.common import plain, settle, ship, slices, small_batches, spread
 from tessellar.llm.graph import components
 
 SHINGLE = 3
@@ -65,6 +65,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
