@@ -1,11 +1,13 @@
 """Main text of web pages: site template removal, then the article.
 
-Every element's subtree is hashed (tag, attributes, children and text). Spark counts on
-how many pages of its host each hash occurs; a subtree on at least ``MIN_PAGES`` pages and
-``MIN_SHARE`` of them belongs to the site's template and is deleted. Flowing text
-(paragraphs, headings, lists, tables, quotations) inside an article is exempt: an article
-that many pages carry, or a passage that many articles share, is content. The counts are
-partially aggregated before the shuffle. The set of template hashes is broadcast while it
+Every element's subtree is hashed (tag, attributes, children and text). Spark counts with
+how many distinct main texts of its host each hash occurs, so copies of one page count
+once; a subtree with at least ``MIN_PAGES`` texts and ``MIN_SHARE`` of them belongs to the
+site's template and is deleted. Flowing text (paragraphs, headings, lists, tables,
+quotations) inside an article is exempt with the elements around it: a passage that many
+articles share is content. Outside an article nothing is exempt, so a passage that pages
+of different texts share goes there. Both counts are partially aggregated before the
+shuffle. The set of template hashes is broadcast while it
 is below ``MAX_BROADCAST`` hashes; beyond, pages join the hashes found on themselves.
 
 What is left goes through the usual roles: menus, headers, footers, sidebars, notices,
@@ -70,12 +72,12 @@ _HINT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """One element: name, whether its role or class marks it as dropped, main part, children, hash."""
+    """One element: name, whether its role or class marks it as dropped, main part, children, hash, flowing text."""
 
-    __slots__ = ("kids", "main", "marked", "name", "own", "sum")
+    __slots__ = ("flow", "kids", "main", "marked", "name", "own", "sum")
 
     def __init__(self, name: str, attrs: str = ""):
-        self.name, self.kids, self.sum = name, [], 0
+        self.name, self.kids, self.sum, self.flow = name, [], 0, False
         self.marked = name in DROP
         self.main = name == "main"
         self.own = name
@@ -158,14 +160,15 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
 
 
 def subtree_sums(root: Node, host: str) -> set[int]:
-    """Hash all subtrees with the host; the set of those that may be template parts."""
+    """Hash all subtrees with the host and note which hold flowing text; the set of those that may be template parts."""
     found, seed = set(), xxh64_intdigest(host) & 0x7FFFFFFF
     for node, inside in _walk(root):
         parts = [node.own]
         for k in node.kids:
             parts.append(" ".join(k.split()) if isinstance(k, str) else f"{k.sum:x}")
         node.sum = xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"), seed) >> 1
-        if node.name in BLOCK and not (inside and node.name in FLOW) and node.name not in ("article", "main", "body", "html"):
+        node.flow = not node.marked and (node.name in FLOW or any(k.flow for k in node.kids if not isinstance(k, str)))
+        if node.name in BLOCK and not (inside and node.flow) and node.name not in ("article", "main", "body", "html"):
             found.add(node.sum)
     return found
 
@@ -203,7 +206,7 @@ def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) ->
                 end()
             elif isinstance(item, str):
                 run.append(unescape(item) if "&" in item else item)
-            elif item.marked or (item.sum in template and not (exempt and item.name in FLOW)):
+            elif item.marked or (item.sum in template and not (exempt and item.flow)):
                 end()
             elif item.name == "br":
                 run.append(" ")
@@ -223,20 +226,22 @@ def host_of(url: str | None) -> str:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """(page key, host sum, subtree sum), each sum once a page; subtree sum 0 stands for the page."""
+    """(page key, host sum, subtree sum, sum of the main text), each subtree once a page; subtree sum 0 stands for the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, hosts, sums = [], [], []
+            keys, hosts, sums, texts = [], [], [], []
             for key, url, page in zip(batch.column("key").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 host = host_of(url)
-                found = [0, *subtree_sums(parse(page or ""), host)]
+                root = parse(page or "")
+                found = [0, *subtree_sums(root, host)]
                 keys += [key] * len(found)
                 hosts += [xxh64_intdigest(host) >> 1] * len(found)
                 sums += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.int64()), pa.array(sums, pa.int64())], ["key", "host", "sum"])
+                texts += [xxh64_intdigest(main_text(root).encode("utf-8", "surrogatepass")) >> 1] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, hosts, sums, texts)], ["key", "host", "sum", "main"])
 
-    return pages.mapInArrow(run, "key long, host long, sum long")
+    return pages.mapInArrow(run, "key long, host long, sum long, main long")
 
 
 def _extract(pages: DataFrame, template) -> DataFrame:
@@ -264,9 +269,9 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     pages = plain(df, page_id=page_id, url=url, html=html).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html"))
     seen = _occurrences(keyed)
-    counts = seen.groupBy("host", "sum").agg(F.count("*").alias("n")).filter(f"n >= {MIN_PAGES}")
-    totals = counts.filter("sum = 0").select(F.col("host").alias("h"), F.col("n").alias("pages"))
-    template = counts.filter("sum <> 0").join(totals, F.col("host") == F.col("h")).filter(F.col("n") >= F.col("pages") * MIN_SHARE).select("sum")
+    counts = seen.select("host", "sum", "main").distinct().groupBy("host", "sum").agg(F.count("*").alias("n")).filter(f"n >= {MIN_PAGES}")
+    totals = counts.filter("sum = 0").select(F.col("host").alias("h"), F.col("n").alias("texts"))
+    template = counts.filter("sum <> 0").join(totals, F.col("host") == F.col("h")).filter(F.col("n") >= F.col("texts") * MIN_SHARE).select("sum")
     held = [r["sum"] for r in template.limit(max_broadcast + 1).collect()]
     if len(held) <= max_broadcast:
         return _extract(pages, df.sparkSession.sparkContext.broadcast(frozenset(held)))

@@ -155,3 +155,19 @@ def test_html_template_removal(spark):
     assert by[103]["text"] == "Text 3.\nShared passage in the text." and by[104]["text"] == "Text 4."
     assert by[200]["text"] == "" and by[200]["url"] is None and by[201]["text"] == ""
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_copies_keep_their_text(spark):
+    wrapped = PAGE.format(main="<article><div class='body'><section><p>Copied story.</p></section></div></article>")
+    bare = PAGE.format(main="<div><p>Copied notice.</p></div>")
+    rows = [(i, "https://a.example/x", wrapped) for i in range(4)] + [(10 + i, "https://b.example/x", bare) for i in range(4)]
+    for i in range(36):
+        rows.append((100 + i, "https://a.example/y", PAGE.format(main=f"<article><div class='body'><p>Story {i}.</p></div><div>Read more</div></article>")))
+        rows.append((200 + i, "https://b.example/y", PAGE.format(main=f"<div><p>Notice {i}.</p></div>")))
+    # a wrapped passage that many articles share is content, too
+    rows += [(300 + i, "https://c.example/y", PAGE.format(main=f"<article><p>Own {i}.</p><div><p>Shared.</p></div></article>")) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (html.MAX_BROADCAST, 0):
+        got = {r["page_id"]: r["text"] for r in html.extract(df, max_broadcast=most).collect()}
+        assert [got[i] for i in range(4)] == ["Copied story."] * 4 and [got[10 + i] for i in range(4)] == ["Copied notice."] * 4
+        assert got[103] == "Story 3." and got[203] == "Notice 3." and got[303] == "Own 3.\nShared."
