@@ -6,8 +6,8 @@ the last return the columns of documents.
 1. language: rows without letters, or whose language stays a guess, go.
 2. near duplicates: one document of each SimHash component stays.
 3. secrets: found secrets are masked in the text, and n_chars follows.
-4. mixing: documents come as often as the mix takes them (a part counts as one copy from
-   half a document on); those it takes 0 times go.
+4. mixing: rows come as often as the mix takes them (a part counts as one copy from half a
+   document on); those it takes 0 times go. Each row counts for itself, with or without id.
 5. tokens: the ids of each whole text, and a digest of the text decoded from them.
 
 Null and empty texts go in the first stage; a null source is a source; null ids stay
@@ -38,10 +38,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    copies = taken.filter("t > 0").select(F.col("doc_id").alias("__id"), F.round(F.col("t") / F.col("s")).cast("int").alias("__copies"))
-    joined = docs.join(copies.filter("__copies > 0"), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    # written with its row numbers, which then stay the same on both sides of the join
+    rows = settle_table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    taken = rows.join(mixing.copies(rows, "__row", "__copies"), "__row")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[rows[c] for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

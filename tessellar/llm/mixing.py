@@ -154,8 +154,21 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     )
 
 
+def copies(rows: DataFrame, row: str, name: str, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``row``, a long that no two rows share, and as ``name`` how often the mix takes that row, if at all.
+
+    A part of a document is a copy from half on. Rows are ordered by id and text, so
+    which ``row`` they were given does not matter.
+    """
+    sizes = plain(rows, row=row, doc_id=doc_id, text=text, source=source).select(
+        F.col("row").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("serial")
+    )
+    taken = mix_sizes(sizes).filter("taken > 0")
+    return taken.select(F.col("doc_id").alias(row), F.round(F.col("taken") / F.col("size")).cast("int").alias(name)).filter(F.col(name) > 0)
+
+
 def mix_sizes(sizes: DataFrame) -> DataFrame:
-    """As :func:`mix`, for a table of doc_id, source and size."""
+    """As :func:`mix`, for a table of doc_id, source and size, and serial where the order is not to come from doc_id."""
     ship(sizes.sparkSession)
     spark, sizes = sizes.sparkSession, settle(sizes)
     totals = sizes.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
@@ -173,7 +186,7 @@ def mix_sizes(sizes: DataFrame) -> DataFrame:
     chance = F.greatest(ratio - whole, F.lit(0.0))
     state = (
         sizes.join(known, sizes["source"].eqNullSafe(known["name"]))
-        .withColumn("serial", F.xxhash64("doc_id", "size"))
+        .withColumn("serial", F.col("serial") if "serial" in sizes.columns else F.xxhash64("doc_id", "size"))
         .select(
             F.col("doc_id").cast("string").alias("doc_key"),
             "source",

@@ -171,3 +171,26 @@ def test_pipeline_stages(spark, tmp_path):
     words = sum(len(r["text"].split()) for r in seen[2])
     assert abs(sum(len(r["text"].split()) for r in seen[3]) - words) < 0.2 * words and ids[3] <= ids[2]
     assert len(seen[4]) == len(seen[3]) and corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_pipeline_mix_decides_row_by_row(spark):
+    rng = random.Random(12)
+
+    def rows_of(source, n, words, ids):
+        return [(i, f"{source} {rng.random()}" + " w" * (words - 2), source, "x") for i in ids(n)]
+
+    nobody, one, own = (lambda n: [None] * n), (lambda n: [7] * n), (lambda n: range(1000, 1000 + n))
+    # targets: a 5000 of 15000 words, b 10000 of 10000, c 15000 of 5000
+    rows = rows_of("a", 1500, 10, nobody) + rows_of("b", 500, 20, one) + rows_of("c", 250, 20, own)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    got = corpus_pipeline.mix_sources(spark, df, "")
+    assert got.columns == df.columns
+    out = sorted(tuple(r) for r in got.collect() if r["doc_id"] is None)
+    count = {}
+    for r in got.collect():
+        count[r["text"]] = count.get(r["text"], 0) + 1
+    by = {s: [count.get(t, 0) for _, t, x, _ in rows if x == s] for s in "abc"}
+    assert set(by["a"]) == {0, 1} and sum(by["a"]) == 500 and set(by["b"]) == {1} and set(by["c"]) == {3}
+    again = corpus_pipeline.mix_sources(spark, df.repartition(5), "").collect()
+    assert out == sorted(tuple(r) for r in again if r["doc_id"] is None)
+    assert corpus_pipeline.mix_sources(spark, df.limit(0), "").count() == 0
