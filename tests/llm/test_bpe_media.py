@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -31,24 +32,49 @@ def test_encoding_equals_library(library):
         coder = bpe.Encoder(f.read())
     for t in texts(3000):
         ids = library.encode(t or "", add_special_tokens=False).ids
-        packed, decoded = coder.encode(t or "")
+        packed = coder.encode(t or "")
         assert packed == struct.pack(f"<{len(ids)}I", *ids), t
-        assert decoded == library.decode(ids, skip_special_tokens=False) == coder.decode(ids)
+        assert coder.decode(bpe.unpack(packed)) == library.decode(ids, skip_special_tokens=False)
+    odd = "\0<|STARTOFTEXT|> x"
+    assert bpe.unpack(coder.encode(odd)) == library.encode(odd, add_special_tokens=False).ids
+
+
+def test_every_merge_goes_through_a_tree(library):
+    """The trees' counter holds exactly the merges of the distinct pieces, short and long ones."""
+    with open(PATH, encoding="utf-8") as f:
+        coder = bpe.Encoder(f.read())
+    words = ["a", "of", "the", "merging", "internationalisation", "x" * 40, "ab" * 3000]
+    for n, w in enumerate(words):
+        before = coder.merged[0]
+        ids = bpe.unpack(coder.encode(w))
+        assert coder.merged[0] - before == len(w) - len(ids), w
+        assert coder.encode(w) and coder.merged[0] - before == (len(w) - len(ids)) * (2 if len(w) > bpe.MEMO_LENGTH else 1)
 
 
 def test_tree_equals_repeated_search():
     rng = random.Random(2)
-    ranks = {(a, b): rng.randint(0, 500) for a in range(40) for b in range(40)}
-    made = [rng.randint(0, 39) for _ in range(501)]
-    for n in (0, 1, 2, 5, 32, 33, 200, 1500):
-        ids = [rng.randint(0, 39) for _ in range(n)]
-        want = list(ids)
-        while len(want) > 1:
-            best = min((ranks.get(p, 10**9), i) for i, p in enumerate(zip(want, want[1:])))
+    pairs = [(a, b) for a in range(40) for b in range(40)]
+    rng.shuffle(pairs)
+    pairs += pairs[:50]  # a pair given twice keeps its first rank
+    made = [rng.randint(0, 39) for _ in pairs]
+    merges, ranks = bpe.Merges(pairs[:1000], made[:1000]), {p: r for r, p in reversed([*enumerate(pairs[:1000])])}
+    pieces = [[rng.randint(0, 39) for _ in range(n)] for n in [0, 1, 2, 3, 5, 17, 32, 33, 200, 1500] + [rng.randint(2, 40) for _ in range(300)]]
+    want, done = [], 0
+    for piece in pieces:
+        piece = list(piece)
+        while len(piece) > 1:
+            best = min((ranks.get(p, 10**9), i) for i, p in enumerate(zip(piece, piece[1:])))
             if best[0] == 10**9:
                 break
-            want[best[1] : best[1] + 2] = [made[best[0]]]
-        assert bpe.merge_symbols(list(ids), ranks, made) == want
+            piece[best[1] : best[1] + 2] = [made[best[0]]]
+            done += 1
+        want.append(piece)
+    for few in (0, 8, 10**9):  # together, or each alone
+        bpe.FEW, kept, counter = few, bpe.FEW, [0]
+        flat, sizes = bpe.merge_pieces(np.array([x for p in pieces for x in p]), np.array([len(p) for p in pieces]), merges, counter)
+        bpe.FEW = kept
+        assert flat.tolist() == [x for p in want for x in p] and sizes.tolist() == [len(p) for p in want] and counter == [done]
+    assert len(bpe.merge_pieces(np.zeros(0, np.int64), np.zeros(0, np.int64), merges)[0]) == 0
 
 
 def test_columns_and_digest(spark, library):
