@@ -304,7 +304,7 @@ class Encoder:
                     memo[" " + token] = i.to_bytes(4, "little")
 
     def encode(self, text: str) -> bytes:
-        return next(self.encode_all([text]))
+        return [*self.encode_all([text])][0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens' strings joined by blanks, as for a file without decoder; unknown ids are left out."""
