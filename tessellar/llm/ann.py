@@ -1,20 +1,24 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded sample of the distinct vectors gives a neighbour graph; the graph is cut into
-parts of like size with few edges between them; a small network learns to predict the
-parts of a vector's neighbours from the vector alone. It then files every vector under its
-most probable part and routes each query to its several most probable parts, where all
-vectors are compared exactly. The number of routed parts is the smallest whose recall on
-sample queries reaches ``SAMPLE_RECALL``.
-
+A bounded sample of the distinct vectors gives a neighbour graph. The graph is cut into
+parts of equal size with few edges between them: bisected along the second eigenvector of
+its normalised adjacency, again and again, and mended after each cut by swaps that save
+edges. A small network learns to predict the parts of a vector's neighbours from the
+vector alone. It then files every vector under its most probable part and routes each
+query to its several most probable parts, where all vectors are compared exactly. The
+number of routed parts is the smallest whose recall reaches ``SAMPLE_RECALL`` on sample
+vectors that neither graph nor network have seen.
+
+There are ``LEAST_PARTS`` parts or more, unless they would hold under ``LEAST_SIZE`` vectors.
 Equal vectors form one class that is compared once; a class lists its smallest ids, as
 many as a result can hold. Parts and their queries are compared in blocks of bounded size,
 so neither a hot vector nor a hot part meets in one task.
 
 Nearness is the inner product in double precision of the stored components. Vectors that
 are null, zero, of another length than most, or hold null or non-finite components take no
-part. Ties go to the smaller id. An id's repeated rows count once; null ids take no part;
-an empty table gives an empty result; other columns are ignored.
+part. Ties go to the smaller id. An id's repeated rows count once; an id with several
+vectors counts with the least of them, compared by components; null ids take no part; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ from pyspark.sql import functions as F
 
 from tessellar.llm.common import plain, settle, ship
 
-SAMPLE = 8192
+#: The fit sample: vectors in all, and for each part; every HELD-th of them is kept out of graph and network.
+SAMPLE, SAMPLE_OF_PART = 8192, 32
+HELD = 8
 #: Distinct vectors a part holds on average, up to MAX_PARTS parts; vectors and queries of a block.
 PART = 5000
-MAX_PARTS = 512
+LEAST_PARTS, LEAST_SIZE, MAX_PARTS = 8, 16, 512
 BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 2048
 GRAPH_K = 12
 HIDDEN = 96
@@ -70,45 +76,70 @@ def _graph(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, seed: int = 5) -> np.ndarray:
-    """Parts of at most 1.1 times the mean size: capped spherical k-means, then moves towards neighbours."""
-    rng, unit, room = np.random.default_rng(seed), _unit(x), math.ceil(1.1 * len(x) / parts)
-    centre = unit[rng.choice(len(x), parts, replace=False)]
-    label = np.zeros(len(x), int)
+def _second_vector(rows: np.ndarray, cols: np.ndarray, n: int, rng: np.random.Generator, steps: int = 80) -> np.ndarray:
+    """The second eigenvector of the graph's normalised adjacency, about, by power iteration."""
+    root = np.sqrt(np.bincount(rows, minlength=n) + 1e-9)
+    weight, first = 1.0 / (root[rows] * root[cols]), root / np.linalg.norm(root)
+    v = rng.normal(size=n)
+    for _ in range(steps):
+        v = v - first * (first @ v)
+        v = v + np.bincount(rows, weight * v[cols], n)  # plus itself, so that no eigenvalue is negative
+        v /= np.linalg.norm(v) + 1e-30
+    return v / root
+
+
+def _bisect(rows: np.ndarray, cols: np.ndarray, n: int, left: int, rng: np.random.Generator) -> np.ndarray:
+    """Which ``left`` of the n nodes go left: a cut along the eigenvector, then swaps that save edges."""
+    side = np.ones(n, bool)
+    side[np.argsort(_second_vector(rows, cols, n, rng), kind="stable")[:left]] = False
     for _ in range(12):
-        s = unit @ centre.T
-        order = np.argsort(-s, axis=1)
-        size, label = np.zeros(parts, int), np.full(len(x), -1)
-        for i in np.argsort(-(s.max(1) - np.sort(s, axis=1)[:, -2] if parts > 1 else s[:, 0]), kind="stable"):
-            for c in order[i]:
-                if size[c] < room:
-                    label[i] = c
-                    size[c] += 1
-                    break
-        centre = np.stack([unit[label == c].sum(0) if (label == c).any() else centre[c] for c in range(parts)])
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    size = np.bincount(label, minlength=parts)
-    for _ in range(4):
-        for i in range(len(x)):
-            votes = np.bincount(label[graph[i]], minlength=parts)
-            for c in np.argsort(-votes, kind="stable")[:3]:
-                if c == label[i] or not votes[c]:
-                    break
-                if votes[c] > votes[label[i]] and size[c] < room:
-                    size[label[i]] -= 1
-                    size[c] += 1
-                    label[i] = c
-                    break
+        across = np.bincount(rows, side[rows] != side[cols], n)
+        gain = 2 * across - np.bincount(rows, minlength=n)
+        a, b = np.nonzero(~side)[0], np.nonzero(side)[0]
+        a, b = a[np.argsort(-gain[a], kind="stable")], b[np.argsort(-gain[b], kind="stable")]
+        m = min(len(a), len(b))
+        better = int((gain[a[:m]] + gain[b[:m]] > 0).sum())
+        if not better:
+            break
+        swap = max(1, better // 2)  # half of them, since neighbours may move, too
+        tried = side.copy()
+        tried[a[:swap]], tried[b[:swap]] = True, False
+        if np.sum(tried[rows] != tried[cols]) >= np.sum(side[rows] != side[cols]):
+            break
+        side = tried
+    return side
+
+
+def balanced_parts(graph: np.ndarray, parts: int, seed: int = 5) -> np.ndarray:
+    """The part of each node: parts of equal size (but for one node), with few edges of the neighbour graph between them."""
+    n, rng = len(graph), np.random.default_rng(seed)
+    near = np.arange(n).repeat(graph.shape[1]), graph.ravel()
+    rows, cols = np.concatenate(near), np.concatenate(near[::-1])
+    label = np.zeros(n, int)
+    todo = [(np.arange(n), 0, parts)]
+    while todo:
+        nodes, first, count = todo.pop()
+        if count < 2:
+            label[nodes] = first
+            continue
+        place = np.full(n, -1)
+        place[nodes] = np.arange(len(nodes))
+        own = (place[rows] >= 0) & (place[cols] >= 0)
+        half = count // 2
+        right = _bisect(place[rows[own]], place[cols[own]], len(nodes), round(len(nodes) * half / count), rng)
+        todo += [(nodes[~right], first, half), (nodes[right], first + half, count - half)]
     return label
 
 
-def train(x: np.ndarray, parts: int, k: int, seed: int = 11) -> Router:
-    """Fit a router over ``parts`` parts to sample vectors; ``k`` neighbours measure its recall."""
-    dim, rng = x.shape[1], np.random.default_rng(seed)
-    if parts < 2 or len(x) < 4 * parts:
+def train(sample: np.ndarray, parts: int, k: int, seed: int = 11) -> Router:
+    """Fit a router over ``parts`` parts to sample vectors; those held out choose how many parts to visit for ``k`` neighbours."""
+    dim, rng = sample.shape[1], np.random.default_rng(seed)
+    if parts < 2:
         return Router([np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1)
+    held = np.arange(len(sample)) % HELD == 0
+    x, asked = sample[~held], sample[held]
     graph = _graph(x, min(GRAPH_K, len(x) - 1))
-    label = _balanced_parts(x, graph, parts)
+    label = balanced_parts(graph, parts)
     soft = np.zeros((len(x), parts))
     np.add.at(soft, (np.arange(len(x))[:, None], label[graph]), 1.0)
     np.add.at(soft, (np.arange(len(x)), label), 2.0)
@@ -126,40 +157,48 @@ def train(x: np.ndarray, parts: int, k: int, seed: int = 11) -> Router:
             dh = (d @ p[2].T) * (h > 0)
             t += 1
             for i, g in enumerate((unit[b].T @ dh, dh.sum(0), h.T @ d, d.sum(0))):
-                m[i] = 0.9 * m[i] + 0.1 * g
+                m[i] = 0.9 * m[i] + 0.1 * (g + 1e-4 * p[i])
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] -= 0.005 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     router = Router(p, parts)
-    z = router.logits(x)
-    home, ranked = z.argmax(1), np.argsort(-z, axis=1, kind="stable")
-    # recall of sample queries whose neighbours are at hand: the part of each neighbour, by its place among the query's parts
-    asked = np.arange(0, len(x), max(1, len(x) // 1500))
-    near = _graph_of(x, asked, min(k, len(x) - 1))
+    # the part of each neighbour of the held-out vectors, by its place among the vector's parts
+    ranked = np.argsort(-router.logits(asked), axis=1, kind="stable")
     place = np.empty_like(ranked)
-    np.put_along_axis(place, ranked, np.arange(parts)[None, :].repeat(len(x), 0), 1)
-    at = np.take_along_axis(place[asked], home[near], 1)
-    router.probes = int(np.searchsorted(np.cumsum(np.bincount(at.ravel(), minlength=parts)) / at.size, SAMPLE_RECALL)) + 1
-    router.probes = min(parts, max(router.probes, min(2, parts)))
+    np.put_along_axis(place, ranked, np.arange(parts)[None, :].repeat(len(asked), 0), 1)
+    at = np.take_along_axis(place, router.logits(x).argmax(1)[_nearest(asked, x, min(k, len(x)))], 1)
+    reached = np.cumsum(np.bincount(at.ravel(), minlength=parts)) / at.size
+    router.probes = min(parts, max(2, int(np.searchsorted(reached, SAMPLE_RECALL)) + 1))
     return router
 
 
-def _graph_of(x: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
-    s = x[asked] @ x.T
-    s[np.arange(len(asked)), asked] = -np.inf
-    return np.argpartition(-s, k - 1, axis=1)[:, :k]
+def _nearest(asked: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest rows of ``x`` by inner product."""
+    if k >= len(x):
+        return np.arange(len(x))[None, :].repeat(len(asked), 0)
+    return np.argpartition(-(asked @ x.T), k - 1, axis=1)[:, :k]
+
 
+def parts_for(total: int, part: int = PART) -> int:
+    """How many parts ``total`` distinct vectors get."""
+    return max(1, min(MAX_PARTS, max(LEAST_PARTS, math.ceil(total / part)), total // LEAST_SIZE))
 
-def classes_of(df: DataFrame, vec_id: str, embedding: str, most: int) -> DataFrame:
-    """Distinct usable vectors: rep (smallest id), ids (the ``most`` smallest), embedding."""
+
+def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """vec_id and embedding, one row an id, of the vectors that take part."""
     rows = plain(df, vec_id=vec_id, embedding=embedding).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     some = F.exists("embedding", lambda c: c != 0)
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & some)
     sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     rows = rows.filter(F.size("embedding") == (sizes[0]["n"] if sizes else 0))
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+
+def classes_of(vectors: DataFrame, most: int) -> DataFrame:
+    """Distinct vectors: rep (smallest id), ids (the ``most`` smallest), embedding."""
     # a hot vector's ids are thinned in salted groups before they meet
     order = Window.partitionBy("embedding", "salt").orderBy("vec_id")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
+    rows = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
     ids = F.slice(F.array_sort(F.collect_set("vec_id")), 1, most)
     return rows.groupBy("embedding").agg(ids.alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "embedding")
 
@@ -175,11 +214,11 @@ def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     """query_id, rank, vec_id and score of the nearest others of every row whose id is divisible by ``every``."""
     spark = df.sparkSession
     ship(spark)
-    classes = settle(classes_of(df, vec_id, embedding, k + 1))
-    total = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()
-    parts = min(MAX_PARTS, math.ceil(total / part)) or 1
-    router = train(np.array([r["embedding"] for r in sample], np.float64), parts, k) if sample else Router([], 1)
+    vectors = usable(df, vec_id, embedding)
+    classes = settle(classes_of(vectors, k + 1))
+    parts = parts_for(classes.count(), part)
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(max(SAMPLE, SAMPLE_OF_PART * parts)).select("embedding").toArrow()
+    router = train(_matrix(sample.column("embedding").combine_chunks()), parts, k) if sample.num_rows else Router([], 1)
     shared = spark.sparkContext.broadcast(router)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +229,12 @@ def search(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
 
     kind = classes.schema["embedding"].dataType.simpleString()
     filed = settle(classes.select("rep", "embedding").mapInArrow(file, f"rep long, embedding {kind}, part long"))
-    asked = plain(df, vec_id=vec_id, embedding=embedding).filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
-    asked = asked.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("e")).distinct()
+    asked = vectors.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
     asked = settle(asked.join(classes, F.col("e") == F.col("embedding")).select("query_id", "rep"))
     queries = filed.join(asked.select(F.col("rep").alias("r")).distinct(), F.col("rep") == F.col("r"), "left_semi").select("rep", "embedding")
 
     size = {r["part"]: r["count"] for r in filed.groupBy("part").count().collect()}  # at most MAX_PARTS rows
-    known = spark.sparkContext.broadcast(np.array([size.get(i, 0) for i in range(max(parts, 1))]))
+    known = spark.sparkContext.broadcast(np.array([size.get(i, 0) for i in range(parts)]))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
