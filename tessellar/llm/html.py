@@ -1,18 +1,23 @@
 """Main text of web pages: site template removal, then the article.
 
-Every element's subtree is hashed (tag, attributes, children and text). Spark counts with
-how many distinct main texts of its host each hash occurs, so copies of one page count
-once; a subtree with at least ``MIN_PAGES`` texts and ``MIN_SHARE`` of them belongs to the
-site's template and is deleted. Flowing text (paragraphs, headings, lists, tables,
+Every element's subtree is hashed in two ways. Its content (tag, attributes, children and
+text) is hashed wherever it stands. The largest elements that lie beside an article or
+main part, as menus and footers do, are also hashed by shape: tags and attributes, with
+runs of like siblings counted as one and without text, addresses and numbers, since menus
+and footers keep their shape while their words change. Spark counts with how many distinct
+main texts of its host each hash occurs, so copies of one page count once; a subtree with at
+least ``MIN_PAGES`` texts and ``MIN_SHARE`` of them, or with ``SURE_PAGES`` texts on a host of any size,
+belongs to the site's template and is deleted. Flowing text (paragraphs, headings, lists, tables,
 quotations) inside an article is exempt with the elements around it: a passage that many
 articles share is content. Outside an article nothing is exempt, so a passage that pages
 of different texts share goes there. Both counts are partially aggregated before the
 shuffle. The set of template hashes is broadcast while it
 is below ``MAX_BROADCAST`` hashes; beyond, pages join the hashes found on themselves.
 
-What is left goes through the usual roles: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments are dropped by tag, role or class; the
-text of the article (else of the main part, else of the body) is cut into blocks.
+What the counts leave goes through the usual roles, which decide alone on hosts of few
+pages: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are dropped by tag, role or class; of the rest, the text of the articles
+(else of the main parts, else of the body) is cut into blocks.
 
 Null pages count as empty and give empty text, as do pages without text. A null address is
 a host of its own. Truncated and unbalanced markup is read as browsers do, in outline.
@@ -30,15 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessellar.llm.common import plain, ship, slices
+from tessellar.llm.common import plain, settle, ship, slices
 
 MIN_PAGES = 4
 MIN_SHARE = 0.1
+SURE_PAGES = 100
 MAX_BROADCAST = 1_000_000
 
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|(!--)|[!?][^<>]*>|(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>)""")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_LOOSE = re.compile(r"""\s*\b(?:href|src|alt|title|content|datetime|action|value)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)|\d+""", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
@@ -72,12 +79,12 @@ _HINT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """One element: name, whether its role or class marks it as dropped, main part, children, hash, flowing text."""
+    """One element: name, whether its role or class marks it as dropped, main part, children, hashes, flowing text, main part inside."""
 
-    __slots__ = ("flow", "kids", "main", "marked", "name", "own", "sum")
+    __slots__ = ("flow", "holds", "kids", "main", "marked", "name", "own", "shape", "sum")
 
     def __init__(self, name: str, attrs: str = ""):
-        self.name, self.kids, self.sum, self.flow = name, [], 0, False
+        self.name, self.kids, self.sum, self.shape, self.flow, self.holds = name, [], 0, 0, False, False
         self.marked = name in DROP
         self.main = name == "main"
         self.own = name
@@ -159,6 +166,19 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
         stack += [(k, within, False) for k in node.kids if not isinstance(k, str)]
 
 
+def _shape(top: Node) -> str:
+    """The outline of an element: names and attributes, without text, and runs of like siblings as one."""
+    done: dict[int, str] = {}
+    for node, _ in _walk(top):
+        parts = [_LOOSE.sub("", node.own).lower()]
+        for k in node.kids:
+            if not isinstance(k, str) and (outline := done.pop(id(k))) != parts[-1]:
+                parts.append(outline)
+        # outlines nest, so long ones go on as hashes
+        done[id(node)] = "\x1f".join(parts) if len(parts) < 2 else f"{xxh64_intdigest(chr(31).join(parts).encode('utf-8', 'surrogatepass')):x}"
+    return done[id(top)]
+
+
 def subtree_sums(root: Node, host: str) -> set[int]:
     """Hash all subtrees with the host and note which hold flowing text; the set of those that may be template parts."""
     found, seed = set(), xxh64_intdigest(host) & 0x7FFFFFFF
@@ -168,27 +188,46 @@ def subtree_sums(root: Node, host: str) -> set[int]:
             parts.append(" ".join(k.split()) if isinstance(k, str) else f"{k.sum:x}")
         node.sum = xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"), seed) >> 1
         node.flow = not node.marked and (node.name in FLOW or any(k.flow for k in node.kids if not isinstance(k, str)))
+        node.holds = node.name == "article" or node.main or any(k.holds for k in node.kids if not isinstance(k, str))
         if node.name in BLOCK and not (inside and node.flow) and node.name not in ("article", "main", "body", "html"):
             found.add(node.sum)
+    # elements beside the path to an article or main part
+    path = [root] if root.holds else []
+    while path:
+        for k in path.pop().kids:
+            if isinstance(k, str) or k.name == "article" or k.main:
+                continue
+            if k.holds:
+                path.append(k)
+            else:
+                k.shape = xxh64_intdigest("shape " + _shape(k), seed) >> 1
+                found.add(k.shape)
     return found
 
 
-def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """Blocks of the article, in page order, without dropped parts and template subtrees."""
+def _inside(node: Node, template: set[int] | frozenset[int]) -> bool:
+    return node.sum in template or (node.shape != 0 and node.shape in template)
+
+
+def main_text(root: Node, template: set[int] | frozenset[int] = frozenset(), roles: bool = True) -> str:
+    """Blocks in page order without template subtrees, and without what roles drop.
+
+    Without ``roles`` the counts alone decide: no tag, class or article is looked at.
+    """
     mains: list[Node] = []
     others: list[Node] = []
-    stack = [root]
+    stack = [(root, False)] if roles else []
     while stack:
-        node = stack.pop()
-        if node.marked or node.sum in template:
+        node, inside = stack.pop()
+        if node.marked or _inside(node, template):
             continue
         if node.name == "article":
             mains.append(node)
             continue
-        if node.main:
+        if node.main and not inside:
             others.append(node)
-        stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
-    roots = mains or others[:1] or [root]
+        stack += [(k, inside or node.main) for k in reversed(node.kids) if not isinstance(k, str)]
+    roots = mains or others or [root]
     blocks: list[str] = []
     run: list[str] = []
 
@@ -198,24 +237,23 @@ def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) ->
         run.clear()
 
     for top in roots:
-        exempt = top is not root
-        todo: list[object] = [top]
+        todo: list[tuple[object, bool]] = [(top, top is not root)]
         while todo:
-            item = todo.pop()
+            item, exempt = todo.pop()
             if item is None:
                 end()
             elif isinstance(item, str):
                 run.append(unescape(item) if "&" in item else item)
-            elif item.marked or (item.sum in template and not (exempt and item.flow)):
+            elif (roles and item.marked) or (_inside(item, template) and not (exempt and item.flow)):
                 end()
             elif item.name == "br":
                 run.append(" ")
             else:
-                block = item.name in BLOCK
-                if block:
+                if item.name in BLOCK:
                     end()
-                    todo.append(None)
-                todo += reversed(item.kids)
+                    todo.append((None, exempt))
+                exempt = exempt or item.name == "article" or item.main
+                todo += [(k, exempt) for k in reversed(item.kids)]
         end()
     return "\n".join(blocks)
 
@@ -244,7 +282,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "key long, host long, sum long, main long")
 
 
-def _extract(pages: DataFrame, template) -> DataFrame:
+def _extract(pages: DataFrame, template, roles: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = []
@@ -254,7 +292,7 @@ def _extract(pages: DataFrame, template) -> DataFrame:
                 gone = template.value if own is None else frozenset(own[i] or ())
                 if gone:
                     subtree_sums(root, host_of(url))
-                texts.append(main_text(root, gone))
+                texts.append(main_text(root, gone, roles))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
@@ -263,17 +301,19 @@ def _extract(pages: DataFrame, template) -> DataFrame:
     return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
-def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", max_broadcast: int = MAX_BROADCAST, roles: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every page; without ``roles`` the template counts alone decide."""
     ship(df.sparkSession)
     pages = plain(df, page_id=page_id, url=url, html=html).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html"))
     seen = _occurrences(keyed)
-    counts = seen.select("host", "sum", "main").distinct().groupBy("host", "sum").agg(F.count("*").alias("n")).filter(f"n >= {MIN_PAGES}")
+    # settled, since its totals are needed too: pages are parsed once for the counts and once for their texts
+    counts = settle(seen.select("host", "sum", "main").distinct().groupBy("host", "sum").agg(F.count("*").alias("n")).filter(f"n >= {MIN_PAGES}"))
     totals = counts.filter("sum = 0").select(F.col("host").alias("h"), F.col("n").alias("texts"))
-    template = counts.filter("sum <> 0").join(totals, F.col("host") == F.col("h")).filter(F.col("n") >= F.col("texts") * MIN_SHARE).select("sum")
+    enough = F.least(F.col("texts") * MIN_SHARE, F.lit(SURE_PAGES))
+    template = counts.filter("sum <> 0").join(totals, F.col("host") == F.col("h")).filter(F.col("n") >= enough).select("sum")
     held = [r["sum"] for r in template.limit(max_broadcast + 1).collect()]
     if len(held) <= max_broadcast:
-        return _extract(pages, df.sparkSession.sparkContext.broadcast(frozenset(held)))
+        return _extract(pages, df.sparkSession.sparkContext.broadcast(frozenset(held)), roles)
     doomed = seen.join(template, "sum").groupBy("key").agg(F.collect_set("sum").alias("doomed")).withColumnRenamed("key", "k")
-    return _extract(keyed.join(doomed, F.col("key") == F.col("k"), "left").select("page_id", "url", "html", "doomed"), None)
+    return _extract(keyed.join(doomed, F.col("key") == F.col("k"), "left").select("page_id", "url", "html", "doomed"), None, roles)

@@ -155,6 +155,8 @@ def test_html_blocks_and_roles():
         "<main><ul><li>1<li>2</ul><table><tr><td>q<td>r</table>tail &am": "1\n2\nq\nr\ntail &am",
         "<!-- <p>no --><p>yes</p><style>p{}": "yes",
         "<article>a</article><article>b</article>": "a\nb",
+        "<main>a</main><p>x</p><main>b<div role=main>c</div></main>": "a\nb\nc",
+        "<main>x<article>a</article></main><article>b</article>": "a\nb",
         "": "",
     }
     for page, want in cases.items():
@@ -194,3 +196,30 @@ def test_html_copies_keep_their_text(spark):
         got = {r["page_id"]: r["text"] for r in html.extract(df, max_broadcast=most).collect()}
         assert [got[i] for i in range(4)] == ["Copied story."] * 4 and [got[10 + i] for i in range(4)] == ["Copied notice."] * 4
         assert got[103] == "Story 3." and got[203] == "Notice 3." and got[303] == "Own 3.\nShared."
+
+
+def test_html_counts_decide_without_roles(spark):
+    """Menus, adverts and footers whose words change from page to page go by their counted shapes alone."""
+    rows, want = [], {}
+    for i in range(24):
+        links = "".join(f"<li><a href='/{i}/{k}'>link {i} {k}</a></li>" for k in range(2 + i % 3))
+        head = f"<html><head><title>t{i}</title></head><body><div class='x1'><ul>{links}</ul></div><div class='x2' id='n{i}'>Buy {i}</div>"
+        once = "<div><i>only here</i></div>" if i == 5 else ""
+        rows.append((i, f"https://a.example/{i}", f"{head}<article><h1>H{i}</h1><p>Body {i}.</p><p>More.</p></article>{once}<div>Foot {i} <a href='/'>top</a></div></body></html>"))
+        want[i] = f"H{i}\nBody {i}.\nMore."
+    few = rows[0][2]
+    df = spark.createDataFrame([*rows, (100, "https://few.example/", few)], "page_id long, url string, html string")
+    full = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert full == want | {100: want[0]}  # roles decide on the host of one page, and drop what stands once
+    counted = {r["page_id"]: r["text"] for r in html.extract(df, roles=False).collect()}
+    assert {i: t for i, t in counted.items() if i not in (5, 100)} == {i: t for i, t in want.items() if i != 5}
+    assert counted[5] == want[5] + "\nonly here" and counted[100].startswith("link 0 0")
+    bare = [html.main_text(html.parse(r[2]), roles=False) for r in rows]
+    assert not any(bare[i] == want[i] for i in want)  # without counts no page is right
+
+
+def test_html_large_hosts_need_no_share(spark):
+    n = 1100
+    pages = "concat('<html><body><article><p>Text ', id, '.</p>', case when id % 10 = 0 then '<div>Read more of us</div>' else '' end, '</article></body></html>')"
+    df = spark.range(n).selectExpr("id as page_id", "'http://a.example/' as url", f"{pages} as html").filter("page_id % 10 < 9 or page_id > 50")
+    assert html.SURE_PAGES <= n // 10 and {r["text"] for r in html.extract(df).collect()} == {f"Text {i}." for i in range(n) if i % 10 < 9 or i > 50}
