@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,13 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(4)
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package whatever the driver's folder is."""
+    """Send this package to the Python workers, as an archive that the driver serves."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    package = os.path.join(root, __name__.partition(".")[0])
+    folder = tempfile.mkdtemp(prefix="tessellar-ship-")  # read by the driver alone
+    path = os.path.join(folder, "tessellar_workers.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for at, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                archive.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
+    spark.sparkContext.addPyFile(path)
 
 
 #: Rows of an Arrow batch where the session keeps Spark's default: whole texts make batches large.
@@ -41,10 +48,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's folder under ``spark.checkpoint.dir``; one is made only where none is named, as in tests."""
+    """The session's folder under ``spark.checkpoint.dir``; one is made only in local mode, where none is named, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessellar-ck-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessellar-ck-"))
     return sc.getCheckpointDir()
 
 
@@ -81,6 +91,14 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that ``columns`` do not hold, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Pick the operator's inputs under its own names, so clashing extras do not matter."""
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])

@@ -11,6 +11,9 @@ same bounds, where distances are counted outright. All links of at most ``distan
 are found. A shard returns only a spanning forest of its links; components are then
 contracted across shards.
 
+The sample grows with the number of fingerprints, ``POINTS`` for each shard, up to ``MAX_SAMPLE``
+of them (64 MB), so shards keep their size up to MAX_SAMPLE / POINTS of them (10 billion fingerprints).
+
 Null and empty texts have fingerprint zero, which links like any other. Null ids take
 part, but a component's id is its smallest non-null one (null if it has none). Repeated
 rows are linked; an empty table gives an empty result; other columns are ignored.
@@ -25,16 +28,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessellar.llm.common import plain, settle, ship, slices, small_batches, spread
+from tessellar.llm.common import plain, settle, settle_table, ship, slices, small_batches, spread, unused
 from tessellar.llm.graph import components
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
-#: Fingerprints at home in a shard, about; those sampled for the tree above the shards.
+#: Fingerprints at home in a shard, about; those sampled for the tree above the shards: for each shard, at least and at most.
 SHARD = 40_000
-SAMPLE = 16_384
+POINTS, MIN_SAMPLE, MAX_SAMPLE = 32, 16_384, 8_000_000
 LEAF = 256
 BLOCK = 65_536
 
@@ -82,33 +86,55 @@ def _split(home: np.ndarray, distance: int) -> tuple[np.uint64, int]:
     some = home[:: max(1, len(home) // 4096)]
     best = (np.inf, tried[0], 32)
     for point in tried:
-        below = np.cumsum(np.bincount(np.bitwise_count(some ^ point), minlength=65))
-        for radius in range(64):
-            left = below[radius] / len(some)
-            if 0.25 <= left <= 0.75:
-                band = (below[radius] - (below[radius - distance] if radius >= distance else 0)) / len(some)
-                best = min(best, (band + abs(left - 0.5) * 0.2, point, radius), key=lambda b: b[0])
+        below = np.cumsum(np.bincount(np.bitwise_count(some ^ point), minlength=65))[:64] / len(some)
+        band = below.copy()
+        band[distance:] -= below[:-distance]
+        cost = np.where((below >= 0.25) & (below <= 0.75), band + np.abs(below - 0.5) * 0.2, np.inf)
+        radius = int(cost.argmin())
+        best = min(best, (float(cost[radius]), point, radius), key=lambda b: b[0])
     if best[0] == np.inf:  # no even cut: take the median of the first point
         d = np.sort(np.bitwise_count(some ^ tried[0]))
         best = (0.0, tried[0], int(min(d[len(d) // 2], d[-1] - 1)))
     return best[1], best[2]
 
 
+def sample_size(total: int, shard: int = SHARD) -> int:
+    """How many of ``total`` fingerprints the tree above the shards is grown from."""
+    return min(MAX_SAMPLE, max(MIN_SAMPLE, POINTS * -(-total // shard)))
+
+
 class ShardTree:
-    """The vantage-point tree above the shards: home shard and visited shards of fingerprints."""
+    """The vantage-point tree above the shards: home shard and visited shards of fingerprints.
+
+    Nodes are kept as arrays (17 bytes each); a child below zero is shard -1 - child.
+    """
 
     def __init__(self, sample: np.ndarray, total: int, shard: int = SHARD, distance: int = DISTANCE):
         self.distance, self.leaves = distance, 0
-        self.root = self._grow(sample, total / max(1, len(sample)), shard)
-
-    def _grow(self, sample: np.ndarray, scale: float, shard: int):
-        if len(sample) * scale > shard and len(sample) >= 16:
-            point, radius = _split(sample, self.distance)
-            inside = np.bitwise_count(sample ^ point) <= radius
-            if inside.any() and not inside.all():
-                return point, radius, self._grow(sample[inside], scale, shard), self._grow(sample[~inside], scale, shard)
-        self.leaves += 1
-        return self.leaves - 1
+        points, radii, children = [], [], []
+        most = max(shard * len(sample) / max(1, total), 16)  # sample points of a shard
+        todo: list[tuple[np.ndarray, int, int]] = [(sample, -1, 0)]  # points, parent, which child
+        self.root = 0
+        while todo:
+            own, parent, which = todo.pop()
+            name = -1 - self.leaves
+            if len(own) > most:
+                point, radius = _split(own, distance)
+                inside = np.bitwise_count(own ^ point) <= radius
+                if inside.any() and not inside.all():
+                    name = len(points)
+                    points.append(point)
+                    radii.append(radius)
+                    children.append([0, 0])
+                    todo += [(own[inside], name, 0), (own[~inside], name, 1)]
+            if name < 0:
+                self.leaves += 1
+            if parent < 0:
+                self.root = name
+            else:
+                children[parent][which] = name
+        self.points, self.radii = np.array(points, np.uint64), np.array(radii, np.int8)
+        self.children = np.array(children, np.int32).reshape(-1, 2)
 
     def route(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(shard, positions in ``fps``, whether at home there)."""
@@ -117,11 +143,11 @@ class ShardTree:
             node, at, home = stack.pop()
             if not len(at):
                 continue
-            if isinstance(node, int):
-                yield node, at, home
+            if node < 0:
+                yield -1 - node, at, home
                 continue
-            point, radius, left, right = node
-            d = np.bitwise_count(fps[at] ^ point).astype(np.int64)
+            radius, (left, right) = int(self.radii[node]), self.children[node].tolist()
+            d = np.bitwise_count(fps[at] ^ self.points[node]).astype(np.int64)
             inside = d <= radius
             if home:
                 # one side visits the other: of a linked pair the inner one goes out
@@ -206,15 +232,19 @@ def links(fps: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -> DataF
     """Edges (u, v) between distinct fingerprints whose components are those of all links."""
     ship(fps.sparkSession)
     total = fps.count()
-    sample = [r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    tree = ShardTree(np.array(sample, np.int64).view(np.uint64), total, shard, distance)
+    share = min(1.0, sample_size(total, shard) / max(1, total))
+    drawn = fps.filter(F.pmod(F.xxhash64("fp", F.lit("shards")), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toArrow()
+    sample = np.sort(drawn.column("fp").to_numpy()).view(np.uint64)
+    tree = fps.sparkSession.sparkContext.broadcast(ShardTree(sample, total, shard, distance))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy()
-            for no, at, home in tree.route(fp.view(np.uint64)):
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(np.full(n, no)), pa.array(np.full(n, home))], ["fp", "shard", "home"])
+            met = [*tree.value.route(fp.view(np.uint64))]
+            if met:
+                at, sizes = np.concatenate([at for _, at, _ in met]), [len(at) for _, at, _ in met]
+                shards, homes = np.repeat([no for no, _, _ in met], sizes), np.repeat([home for _, _, home in met], sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(shards.astype(np.int64)), pa.array(homes)], ["fp", "shard", "home"])
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fp", ignore_index=True)
@@ -226,12 +256,17 @@ def links(fps: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -> DataF
     return fps.select("fp").mapInArrow(visits, "fp long, shard long, home boolean").groupBy("shard").applyInPandas(within, "u long, v long")
 
 
+def components_of(fps: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -> DataFrame:
+    """``fps`` (distinct fp and more) with root, the component's least fingerprint."""
+    stars = components(links(fps, distance, shard)).withColumnsRenamed({"node": "fp"})
+    return fps.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, shard: int = SHARD) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id of every row."""
     docs = settle(fingerprints(df, doc_id, text))
     fps = settle(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = components(links(fps, distance, shard)).withColumnsRenamed({"node": "fp"})
-    named = fps.join(stars, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = components_of(fps, distance, shard)
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(roots, "root").select("fp", "component_id")
     return docs.join(by_fp, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -241,32 +276,30 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` with one document of each group left: that of the component's id.
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, shard: int = SHARD) -> DataFrame:
+    """The rows of ``df`` with one row of each group left: that of the smallest id.
 
-    A group without any non-null id keeps one row of each distinct text.
+    Rows count one by one, so rows that share an id stay if their texts lie in different
+    groups, and rows without id are kept if their group has none with. Of rows of one
+    group and id, the one whose text's, then whose columns' hash is least stays.
     """
-    found = settle(near_duplicates(df, doc_id, text))
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = settle(kept.withColumnsRenamed({"doc_id": "__kept", "n": "__n"}))
-    once = df.join(kept.filter("__n = 1").select("__kept"), F.col(f"`{doc_id}`").cast("long") == F.col("__kept"), "left_semi")
-    out = once
-    if not kept.filter("__n > 1").isEmpty():
-        more = df.join(kept.filter("__n > 1").select("__kept"), F.col(f"`{doc_id}`").cast("long") == F.col("__kept"), "left_semi")
-        out = out.unionByName(more.dropDuplicates([doc_id]))
-    if not found.filter("component_id is null").isEmpty():
-        out = out.unionByName(_keep_nameless(df, found, doc_id, text))
-    return out
-
-
-def _keep_nameless(df: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows without id whose fingerprint links to no named document: one of each distinct text."""
-    lone = found.filter("component_id is null").select("fingerprint").distinct()
-    rows = df.filter(F.col(f"`{doc_id}`").isNull()).dropDuplicates([text])
-    ship(df.sparkSession)
-    mark = F.udf(lambda t: f"{fingerprint(t):016x}", "string")
-    return (
-        rows.withColumn("__fp", mark(F.col(f"`{text}`")))
-        .join(lone.withColumnRenamed("fingerprint", "__lone"), F.col("__fp") == F.col("__lone"), "left_semi")
-        .drop("__fp")
-    )
+    columns, spark = df.columns, df.sparkSession
+    ship(spark)
+    small_batches(spark)
+    rows, found = [unused(columns, n) for n in ("row", "fp")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = columns.index(text)
+        for batch in slices(batches):
+            fp = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, found])
+
+    marked = df.mapInArrow(run, StructType([*df.schema.fields, StructField(found, LongType())]))
+    # written with its row numbers, which then stay the same for the choice and for the result
+    table = settle_table(marked.withColumn(rows, F.monotonically_increasing_id()))
+    named = F.col(f"`{doc_id}`").cast("long")
+    others = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns if c != text] or [F.lit(0)])))
+    place = F.struct(named.isNull().alias("nameless"), named.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), others.alias("o"), F.col(rows).alias("row"))
+    fps = settle(table.groupBy(F.col(found).alias("fp")).agg(F.min(place).alias("first")))
+    kept = components_of(fps, distance, shard).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept"))
+    return table.join(settle(kept), F.col(rows) == F.col("kept"), "left_semi").select(*[F.col(f"`{c}`") for c in columns])

@@ -180,17 +180,93 @@ def test_pipeline_mix_decides_row_by_row(spark):
         return [(i, f"{source} {rng.random()}" + " w" * (words - 2), source, "x") for i in ids(n)]
 
     nobody, one, own = (lambda n: [None] * n), (lambda n: [7] * n), (lambda n: range(1000, 1000 + n))
-    # targets: a 5000 of 15000 words, b 10000 of 10000, c 15000 of 5000
-    rows = rows_of("a", 1500, 10, nobody) + rows_of("b", 500, 20, one) + rows_of("c", 250, 20, own)
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    # targets: a 5003 of 15010 words, b 10006 of 10000 (so 6 words are a part), c 15010 of 5010
+    rows = rows_of("a", 1501, 10, nobody) + rows_of("b", 500, 20, one) + rows_of("c", 250, 20, own) + rows_of("c", 1, 10, nobody)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row string")
     got = corpus_pipeline.mix_sources(spark, df, "")
     assert got.columns == df.columns
-    out = sorted(tuple(r) for r in got.collect() if r["doc_id"] is None)
-    count = {}
-    for r in got.collect():
-        count[r["text"]] = count.get(r["text"], 0) + 1
-    by = {s: [count.get(t, 0) for _, t, x, _ in rows if x == s] for s in "abc"}
-    assert set(by["a"]) == {0, 1} and sum(by["a"]) == 500 and set(by["b"]) == {1} and set(by["c"]) == {3}
+    got = got.collect()
+    words = {}
+    for r in got:
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    sizes = {s: sum(len(t.split()) for _, t, x, _ in rows if x == s) for s in "abc"}
+    targets = dict(zip("abc", mixing.source_targets([(s, sizes[s]) for s in "abc"])))
+    # what is delivered is what op8 takes, word by word
+    taken = {}
+    for r in mixing.mix(df).collect():
+        s = next(x for x in "abc" if abs(targets[x] - r["target"]) < 1e-6)
+        taken[s] = taken.get(s, 0) + r["taken"]
+    assert words == taken and all(abs(words[s] - targets[s]) <= 0.002 * targets[s] + 1 for s in words)
+    whole = {t for _, t, _, _ in rows}
+    assert all(r["text"] in whole or any(t.startswith(r["text"]) for t in whole) for r in got)
     again = corpus_pipeline.mix_sources(spark, df.repartition(5), "").collect()
-    assert out == sorted(tuple(r) for r in again if r["doc_id"] is None)
+    assert sorted(map(str, got)) == sorted(map(str, again))
     assert corpus_pipeline.mix_sources(spark, df.limit(0), "").count() == 0
+
+
+def test_first_words(spark):
+    texts = ["a b c", "  a\tb\n ", "one", " x  y z "]
+    df = spark.createDataFrame([(t, k) for t in texts for k in range(1, 4)], "t string, k long").withColumn("cut", mixing.first_words(F.col("t"), F.col("k")))
+    for r in df.collect():
+        assert r["cut"].split() == r["t"].split()[: r["k"]] and r["t"].startswith(r["cut"])
+
+
+def test_mix_hot_class_and_many_sources(spark, monkeypatch):
+    """A third of all rows is one repeated row; sources planned in Spark get the same targets as on the driver."""
+    rows = [(None, "a b c", "hot")] * 700 + [(i, "w " * (i % 9 + 1), f"s{i % 37}é" if i % 5 else None) for i in range(1300)] + [(9, "big " * 5000, "s1é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(tuple(r) for r in mixing.mix(df).collect() if r["doc_id"] is not None)
+    hot = [r for r in mixing.mix(df).collect() if r["doc_id"] is None]
+    assert len(hot) == 700 and abs(sum(r["taken"] for r in hot) - hot[0]["target"]) <= 3 and {r["taken"] for r in hot} <= {0, 1, 2, 3, 6, 9}
+    monkeypatch.setattr(mixing, "EXPAND", 64)
+    assert sorted(tuple(r) for r in mixing.mix(df).collect() if r["doc_id"] is not None) == want
+    totals = df.select("source", mixing.word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("classes"))
+    here, most = mixing.plan_sources(totals)
+    there, most2 = mixing.plan_sources(totals, driver_sources=3)
+    assert sorted(map(str, here.collect())) == sorted(map(str, there.collect())) and most == most2
+
+
+def test_keep_one_row_by_row(spark):
+    """Rows that share an id stay if their texts differ; copies go, with and without id."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    text = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(6)]
+    near = text[5] + " end"
+    assert bin(simhash.fingerprint(text[5]) ^ simhash.fingerprint(near)).count("1") <= 2
+    rows = [(1, text[0], "x"), (1, text[1], "y"), (1, text[1], "z"), (2, text[0], "x"), (None, text[2], "n"), (None, text[2], "n"), (None, text[3], "n"), (5, text[3], "v")]
+    rows += [(None, text[5], "n"), (None, near, "m"), (4, text[4], "k"), (4, text[4], "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("row", F.lit(1)).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    out = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted(map(str, out)) == sorted(map(str, [(1, text[0]), (1, text[1]), (None, text[2]), (5, text[3]), (4, text[4]), next(o for o in out if o[1] in (text[5], near))]))
+    again = simhash.keep_one(df.repartition(4)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got.collect()))
+
+
+def test_shards_keep_their_size():
+    rng = np.random.default_rng(8)
+    assert [simhash.sample_size(n) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [16_384, 16_384, 80_000, 8_000_000, 8_000_000]
+    for total in (10**6, 10**8, 10**9):
+        sample = rng.integers(0, 2**64, simhash.sample_size(total), dtype=np.uint64)
+        tree = simhash.ShardTree(sample, total)
+        fresh = rng.integers(0, 2**64, 200_000, dtype=np.uint64)
+        at_home = np.zeros(tree.leaves, int)
+        for no, at, home in tree.route(fresh):
+            if home:
+                at_home[no] += len(at)
+        assert at_home.sum() == len(fresh)
+        # few shards get more fresh ones than the mean of a full shard, by chance alone
+        assert np.mean(at_home * (total / len(fresh)) > 4 * simhash.SHARD) < 0.02 + (total > 10**8) * 0.2
+
+
+def test_components_split_hot_nodes(spark, monkeypatch):
+    from tessellar.llm import graph
+
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(30)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(250)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = sorted(map(tuple, graph.components(df).collect()))
+    for name, value in (("BROADCAST_EDGES", 0), ("HOT", 20), ("SALTS", 4)):
+        monkeypatch.setattr(graph, name, value)
+    assert sorted(map(tuple, graph.components(df).collect())) == want
