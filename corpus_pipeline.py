@@ -4,10 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 the last return the columns of documents.
 
 1. language: rows without letters, or whose language stays a guess, go.
-2. near duplicates: one document of each SimHash component stays.
+2. near duplicates: one row of each SimHash component stays.
 3. secrets: found secrets are masked in the text, and n_chars follows.
-4. mixing: rows come as often as the mix takes them (a part counts as one copy from half a
-   document on); those it takes 0 times go. Each row counts for itself, with or without id.
+4. mixing: rows come as often as the mix takes them, and the part it takes of one document
+   a source as that many words; rows taken 0 times go. Each row counts for itself, with or
+   without id.
 5. tokens: the ids of each whole text, and a digest of the text decoded from them.
 
 Null and empty texts go in the first stage; a null source is a source; null ids stay
@@ -38,10 +39,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # written with its row numbers, which then stay the same on both sides of the join
-    rows = settle_table(docs.withColumn("__row", F.monotonically_increasing_id()))
-    taken = rows.join(mixing.copies(rows, "__row", "__copies"), "__row")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[rows[c] for c in docs.columns])
+    mixed = mixing.deliver(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else mixed
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
