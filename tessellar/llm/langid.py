@@ -3,7 +3,8 @@
 Bytes are embedded, filters of several widths slide over them, each filter's largest
 response in a fixed-length window goes through a rectifier into a softmax over the
 languages. The network is trained in numpy on a bounded sample of labelled rows (the
-driver holds at most ``MAX_ROWS`` times ``WINDOWS`` windows of ``LENGTH`` characters).
+driver holds at most ``MAX_ROWS`` times ``WINDOWS`` windows of ``LENGTH`` characters); the
+softmax is over the ``MAX_LANGUAGES`` most frequent labels, which bounds the network.
 Prediction cuts the whole text into windows, all of them, and averages their
 probabilities by the letters they hold. For speed the embedding and the filters are
 folded into tables over byte pairs, which changes no response.
@@ -233,7 +234,7 @@ LEAST_SCORE = 0.4
 def keep_identified(df: DataFrame, least: float = LEAST_SCORE, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` whose language is found with a score of at least ``least``.
 
-    Rows stay as they are, repeated ones too; labels of all rows may train.
+    Rows stay as they are, repeated ones too; training leaves out the same fold as :func:`identify`.
     """
     net = train(*fit_sample(plain(df, doc_id=doc_id, text=text, lang=lang), crc_bucket(F.col("doc_id"), 4) != 2))
     ship(df.sparkSession)

@@ -1,7 +1,8 @@
 """Media columns: lossless storage as WAV, and signature sniffing.
 
-Sniffing: one Aho-Corasick pass locates every magic byte string, then a validator of that
-format confirms its structure and returns its exact length. The validated format at
+Sniffing: one Aho-Corasick pass locates every magic byte string, and the closing marks of
+formats that have no length in front; then a validator of that format confirms its
+structure and returns its exact length, in bounded memory whatever the value holds. The validated format at
 offset 0 is the detected type and corrects the declared one; validated formats at other
 offsets are carved as embedded media. Magic bytes without valid structure are ignored.
 
@@ -14,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -26,6 +29,17 @@ from tessellar.llm.common import plain, ship, slices, spread
 
 UNIT = 576
 PAD = b"\xff"
+#: Bytes read, and bytes inflated, at a time.
+STEP = 1 << 18
+
+
+@dataclass
+class Marks:
+    """Places of closing marks in a value: archives of ZIP end records, startxref and end-of-file marks of PDF."""
+
+    zips: dict[int, int]
+    starts: list[int]
+    ends: list[int]
 
 
 def _wav(b: bytes, at: int) -> int | None:
@@ -114,41 +128,52 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    """Length of a ZIP whose end record points back at a central directory of this archive."""
-    p = at
-    while (p := b.find(b"PK\x05\x06", p)) >= 0:
+def zip_ends(b: bytes, marks: list[int]) -> dict[int, int]:
+    """Where each archive begins whose end record (at one of ``marks``) points back at its central directory, and its first end."""
+    found: dict[int, int] = {}
+    for p in marks:
         if p + 22 <= len(b):
             size, off, note = struct.unpack_from("<IIH", b, p + 12)
-            if at + off + size == p and p + 22 + note <= len(b) and b[at + off : at + off + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
-                return p + 22 + note - at
-        p += 4
-    return None
+            at = p - size - off
+            if at >= 0 and p + 22 + note <= len(b) and b[at + off : at + off + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+                found.setdefault(at, p + 22 + note)
+    return found
+
+
+def _zip(b: bytes, at: int, marks: Marks) -> int | None:
+    """Length of a ZIP whose end record points back at a central directory of this archive."""
+    end = marks.zips.get(at)
+    return end - at if end else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
-    """Length of a gzip member that inflates with the right checksum."""
+    """Length of a gzip member that inflates with the right checksum; what it inflates to is not kept."""
     if len(b) - at < 18 or b[at + 2] != 8:
         return None
     try:
         d = zlib.decompressobj(31)
         rest = memoryview(b)[at:]
-        for i in range(0, len(rest), 1 << 20):
-            d.decompress(rest[i : i + (1 << 20)])
-            if d.eof:
-                return min(i + (1 << 20), len(rest)) - len(d.unused_data)
+        for i in range(0, len(rest), STEP):
+            some = rest[i : i + STEP]
+            while True:
+                d.decompress(some, STEP)
+                if d.eof:
+                    return min(i + STEP, len(rest)) - len(d.unused_data)
+                some = d.unconsumed_tail
+                if not some:
+                    break
     except zlib.error:
         pass
     return None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(b: bytes, at: int, marks: Marks) -> int | None:
     """Length of a PDF: version, a startxref and an end-of-file mark."""
     if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return None
-    x = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", x) if x >= 0 else -1
-    return end + 5 - at if end >= 0 else None
+    x = bisect_left(marks.starts, at)
+    e = bisect_left(marks.ends, marks.starts[x]) if x < len(marks.starts) else len(marks.ends)
+    return marks.ends[e] + 5 - at if e < len(marks.ends) else None
 
 
 def _bmp(b: bytes, at: int) -> int | None:
@@ -172,8 +197,10 @@ def _ogg(b: bytes, at: int) -> int | None:
     return p - at or None
 
 
+#: Closing marks.
+CLOSING = (b"PK\x05\x06", b"startxref", b"%%EOF")
 #: Magic bytes, media type, validator.
-FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
+FORMATS: tuple[tuple[bytes, str, Callable[..., int | None]], ...] = (
     (b"RIFF", "audio/wav", _wav),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
@@ -192,19 +219,26 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for no, (magic, _, _) in enumerate(FORMATS):
-        a.add_word(magic.decode("latin-1"), no)
+    for no, word in enumerate([*(magic for magic, _, _ in FORMATS), *CLOSING]):
+        a.add_word(word.decode("latin-1"), (no, len(word)))
     a.make_automaton()
     return a
 
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """Validated media as (start, end, type), by start; one inside another is left to a later sniff of it."""
+    places: list[list[int]] = [[] for _ in CLOSING]
+    heads = []
+    for last, (no, size) in _automaton().iter(data.decode("latin-1")):
+        if no < len(FORMATS):
+            heads.append((last + 1 - size, no))
+        else:
+            places[no - len(FORMATS)].append(last + 1 - size)
+    marks = Marks(zip_ends(data, places[0]), *places[1:])
     found, free = [], 0
-    for last, no in _automaton().iter(data.decode("latin-1")):
-        magic, kind, valid = FORMATS[no]
-        at = last + 1 - len(magic)
-        if at >= free and (size := valid(data, at)):
+    for at, no in sorted(heads):
+        _, kind, valid = FORMATS[no]
+        if at >= free and (size := valid(data, at, marks) if valid in (_zip, _pdf) else valid(data, at)):
             found.append((at, at + size, kind))
             free = at + size
     return found
@@ -301,4 +335,4 @@ def media_digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             if cols:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names)
 
-    return spread(plain(df, doc_id=doc_id, text=text)).mapInArrow(run, DIGEST)
+    return spread(plain(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, DIGEST)

@@ -10,7 +10,8 @@ of its expected number of toxic tokens, its highest marginal and its length. Tok
 marginal of at least 0.5 are the offending spans.
 
 The fit sample is bounded: ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents of at most
-``MAX_CHARS`` characters, weighted back to the classes' true shares. Scoring reads whole texts.
+``MAX_CHARS`` characters, weighted back to the classes' true shares. All their tokens train
+the chain, in stretches of ``STRETCH`` tokens. Scoring reads whole texts.
 
 Null and empty texts have no tokens and still get a score. Without labels of both classes
 all scores are 0. Repeated rows give repeated results; an empty table an empty result;
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import crc_bucket, plain, ship, spread
+from tessellar.llm.common import crc_bucket, plain, ship, slices, small_batches, spread
 
 MAX_TOXIC, MAX_CLEAN = 800, 1600
 MAX_CHARS = 12_000
-TRAIN_TOKENS = 400
+STRETCH = 400
 PREFIXES = (3, 4, 5, 6, 7)
 MAX_FEATURES = 40_000
 STEPS = 25
@@ -144,10 +145,12 @@ def train(texts: list[str], toxic: list[bool], share: float, steps: int = STEPS)
     whole = [np.array([vocabulary.setdefault(w.lower(), len(vocabulary)) for w in _WORD.findall(t)], np.int32) for t in texts]
     of_word = [features(w) for w in vocabulary]
     marked = _mark(whole, of_word, toxic)
-    order = sorted((i for i in range(len(whole)) if len(whole[i])), key=lambda i: -min(len(whole[i]), TRAIN_TOKENS))
-    if not order:
+    # stretches of all documents, the longest first: (document, tokens)
+    cuts = [(i, row[at : at + STRETCH]) for i, row in enumerate(whole) for at in range(0, len(row), STRETCH)]
+    cuts.sort(key=lambda c: -len(c[1]))
+    if not cuts:
         return None
-    ids = [whole[i][:TRAIN_TOKENS] for i in order]
+    order, ids = [i for i, _ in cuts], [row for _, row in cuts]
     count = Counter(f for fs in of_word for f in fs)
     kept = {f: k for k, (f, _) in enumerate(sorted(((f, c) for f, c in count.items() if c > 1 or f in marked), key=lambda x: (x[0] not in marked, -x[1], x[0]))[:MAX_FEATURES])}
     pairs = np.array([(w, kept[f]) for w, fs in enumerate(of_word) for f in fs if f in kept], np.int32).reshape(-1, 2)
@@ -244,12 +247,13 @@ SCORES = "doc_id long, score double, predicted int, spans string"
 def score(df: DataFrame, chain: Chain | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, predicted, and offending spans (start-end, comma-joined, code points) of every row."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         emit = model.emissions() if model else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             scores, spans = np.zeros(len(texts)), [""] * len(texts)
             if model:

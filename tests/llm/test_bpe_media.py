@@ -147,3 +147,47 @@ def test_sniffing_corrects_and_carves(spark):
     assert out[1]["corrected_type"] == "image/png" and out[1]["is_wrong"]
     assert [c["type"] for c in out[2]["carved"]] == ["image/png", "image/gif"] and out[2]["corrected_type"] == "text/plain"
     assert bytes(out[2]["carved"][1]["bytes"]) == made["image/gif"] and out[3]["carved"] == [] and not out[3]["is_wrong"]
+
+
+def test_sniffing_equals_naive_scan():
+    """Random joins of media, cut media, magic bytes and closing marks, against a look at every offset."""
+    rng = random.Random(11)
+    made = samples()
+    scraps = [*made.values(), *(b[: len(b) // 2] for b in made.values()), *(m for m, _, _ in media.FORMATS), *media.CLOSING, b"x", b"\0" * 9]
+    closers = {m: (lambda b, m=m: [i for i in range(len(b)) if b.startswith(m, i)]) for m in media.CLOSING}
+    for _ in range(300):
+        b = b"".join(rng.choice(scraps) for _ in range(rng.randint(0, 8)))
+        zips, starts, ends = (closers[m](b) for m in media.CLOSING)
+        marks = media.Marks(media.zip_ends(b, zips), starts, ends)
+        want, free = [], 0
+        for at in range(len(b)):
+            for magic, kind, valid in media.FORMATS:
+                if at >= free and b.startswith(magic, at):
+                    size = valid(b, at, marks) if valid in (media._zip, media._pdf) else valid(b, at)
+                    if size:
+                        want.append((at, at + size, kind))
+                        free = at + size
+        assert media.sniff(b) == want
+
+
+def test_hostile_values_stay_bounded():
+    import gzip
+    import time
+    import tracemalloc
+
+    bomb = gzip.compress(bytes(64 << 20))
+    tracemalloc.start()
+    assert media.sniff(bomb + b"tail") == [(0, len(bomb), "application/gzip")]
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    began = time.perf_counter()
+    assert media.sniff(b"PK\x03\x04" * 100_000) == [] == media.sniff(b"%PDF-1.4 " * 100_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_digests_of_odd_tables(spark):
+    df = spark.createDataFrame([("7", "a b", "x"), ("7", "a b", "x"), (None, None, "x"), ("8", "", "x")], "doc_id string, text string, media_sha256 string")
+    for rows in (media.media_digest(df).collect(), bpe.token_digest(df, PATH).collect()):
+        assert sorted(str(r["doc_id"]) for r in rows) == ["7", "7", "8", "None"]
+        assert len({tuple(r)[1:] for r in rows}) == 2  # equal texts, equal values; null as empty
+    assert media.media_digest(df.limit(0)).count() == 0 == bpe.token_digest(df.limit(0), PATH).count()
