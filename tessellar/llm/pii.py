@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.spans import digest_text, find_spans, no_spans, ordered, redact, sha256_hex
+from tessellar.llm.spans import blocks, digest_text, find_spans, let, no_spans, ordered, overlapping, redact, sha256_hex
 
 EXAMPLES = 3000
 ROUNDS = 30
@@ -133,7 +133,7 @@ def candidates(text: Column, base: Column) -> Column:
     groups = []
     for no, (kind, pattern) in enumerate(GENERATORS, 4):
         groups.append(F.when(at if kind == "email_disguised" else figures, find_spans(text, pattern, kind, no)).otherwise(no_spans()))
-    free = F.filter(F.concat(*groups), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    free = let(blocks(base), lambda bl: F.filter(F.concat(*groups), lambda s: F.size(overlapping(bl, s)) == 0))
     return F.transform(free, lambda s: F.struct(s.alias("span"), _features(text, s).alias("x")))
 
 
@@ -299,7 +299,7 @@ def _longest(spans: Column) -> Column:
         la, lb = a["end"] - a["start"], b["end"] - b["start"]
         return (la > lb) | ((la == lb) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind_no"] < b["kind_no"]))))
 
-    return F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["start"] < s["end"]) & (o["end"] > s["start"]) & beats(o, s)))
+    return let(blocks(spans), lambda bl: F.filter(spans, lambda s: ~F.exists(overlapping(bl, s), lambda o: beats(o, s))))
 
 
 def find_personal_data(df: DataFrame, text: str = "text", out: str = "personal") -> DataFrame:

@@ -2,9 +2,9 @@
 
 Everything runs as DataFrame expressions. Three base rules give exact spans. The
 entropy method then looks at candidate strings of one character class: a window slides
-over the candidate, its symbol counts change by one entering and one leaving symbol, and
-the sum of c*log2(c) is updated from those two counts, so a step never recounts the
-window. Sums are whole numbers (scaled by ``SCALE``), so results do not depend on order.
+over the candidate, its symbol counts (one character each of a string) change by one
+entering and one leaving symbol, and the sum of c*log2(c) is updated from those two
+counts, so a step never recounts the window. Sums are whole numbers (scaled by ``SCALE``), so results do not depend on order.
 Stretches of windows above the class's threshold become ``entropy`` spans unless an
 allow-list pattern or a base span explains them.
 
@@ -20,9 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.spans import SPAN, digest_text, find_spans, let, no_spans, ordered, redact, sha256_hex
+from tessellar.llm.spans import SPAN, blocks, digest_text, find_spans, let, no_spans, ordered, overlapping, redact, sha256_hex
 
 SCALE = 1_000_000
+#: Counts are kept as characters from this one on.
+ZERO = 48
 
 # Base rules. Possessive quantifiers change no match here (what follows a run never starts
 # with a symbol of it) and keep long texts linear.
@@ -54,7 +56,8 @@ CLASSES = (
         "base64", r"^[A-Za-z0-9+/_=-]{20,}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.75
     ),
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
+# The look-behind changes no match and lets the scan skip the insides of words.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Candidates that are known not to be secrets.
 ALLOW = (
     r"^[^0-9]*+$",  # words, paths and rules without a digit
@@ -66,12 +69,15 @@ ALLOW = (
 
 
 def base_spans(text: Column) -> Column:
-    """Exact spans of the three base rules, unordered."""
+    """Exact spans of the three base rules, unordered; the rules run only where their marks occur."""
     assign = F.filter(
         find_spans(text, ASSIGN, "assign", 0),
         lambda s: F.length(F.regexp_replace(s["match"], ASSIGN_VALUE, "")) >= 8,
     )
-    return F.concat(assign, find_spans(text, ACCESS, "access", 1), find_spans(text, HEX, "hex", 2))
+    assign = F.when(F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")), assign).otherwise(no_spans())
+    access = F.when(F.contains(text, F.lit("AKIA")), find_spans(text, ACCESS, "access", 1)).otherwise(no_spans())
+    # a run of 32 hex digits is one of 20 candidate symbols, too
+    return F.concat(assign, access, F.when(text.rlike(CANDIDATE), find_spans(text, HEX, "hex", 2)).otherwise(no_spans()))
 
 
 def _fold_windows(candidate: Column, alphabet: str, window: int, bits: float) -> Column:
@@ -80,7 +86,7 @@ def _fold_windows(candidate: Column, alphabet: str, window: int, bits: float) ->
     most = round(SCALE * window * (math.log2(window) - bits))
     symbols = F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(alphabet), ch))
     state = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
+        F.lit(chr(ZERO) * len(alphabet)).alias("counts"),
         F.lit(0).cast("bigint").alias("sum"),
         F.lit(-1).alias("from"),
         F.lit(-1).alias("to"),
@@ -90,14 +96,19 @@ def _fold_windows(candidate: Column, alphabet: str, window: int, bits: float) ->
     def w(count: Column) -> Column:
         return F.element_at(weight, count + 1)
 
+    def count(counts: Column, symbol: Column) -> Column:
+        return F.ascii(F.substring(counts, symbol, F.lit(1))) - ZERO
+
+    def put(counts: Column, symbol: Column, value: Column) -> Column:
+        return F.overlay(counts, F.char(value + ZERO), symbol, F.lit(1))
+
     def step(acc: Column, move: Column) -> Column:
         came, left, i = move["came"], move["left"], move["i"]
-        c_in = F.element_at(acc["counts"], came)
-        c_out = F.when(left > 0, F.element_at(acc["counts"], F.greatest(left, F.lit(1))) + F.when(left == came, 1).otherwise(0))
+        c_in = count(acc["counts"], came)
+        c_out = F.when(left > 0, count(acc["counts"], left) + F.when(left == came, 1).otherwise(0))
         total = acc["sum"] + w(c_in + 1) - w(c_in) + F.when(left > 0, w(c_out - 1) - w(c_out)).otherwise(F.lit(0))
-        counts = F.transform(
-            acc["counts"], lambda c, k: c + F.when(k + 1 == came, 1).otherwise(0) - F.when(k + 1 == left, 1).otherwise(0)
-        )
+        added = put(acc["counts"], came, c_in + 1)
+        counts = F.when(left > 0, put(added, left, c_out - 1)).otherwise(added)
         high = (i + 1 >= window) & (total <= most)
         start = i + 1 - window
         joins = (acc["from"] >= 0) & (start <= acc["to"])
@@ -136,7 +147,7 @@ def _fold_windows(candidate: Column, alphabet: str, window: int, bits: float) ->
 
 def entropy_spans(text: Column, base: Column, classes: tuple[EntropyClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> Column:
     """Spans of kind ``entropy``: high-entropy stretches that neither allow list nor base explain."""
-    seen = find_spans(text, CANDIDATE, "entropy", 3)
+    seen = F.when(text.rlike(CANDIDATE), find_spans(text, CANDIDATE, "entropy", 3)).otherwise(no_spans())
     allowed = "|".join(f"(?:{p})" for p in allow)
     seen = F.filter(seen, lambda c: ~c["match"].rlike(allowed))
 
@@ -157,9 +168,8 @@ def entropy_spans(text: Column, base: Column, classes: tuple[EntropyClass, ...]
 
     least = min(k.window for k in classes)
 
-    def beside(s: Column) -> Column:
+    def beside(s: Column, met: Column) -> Column:
         """The stretch without what base spans cover at its ends."""
-        met = F.filter(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
         start = F.aggregate(met, s["start"], lambda a, b: F.when(b["start"] <= s["start"], F.greatest(a, b["end"])).otherwise(a))
         end = F.aggregate(met, s["end"], lambda a, b: F.when(b["start"] > s["start"], F.least(a, b["start"])).otherwise(a))
         return let(
@@ -170,8 +180,12 @@ def entropy_spans(text: Column, base: Column, classes: tuple[EntropyClass, ...]
             ).cast(SPAN),
         )
 
-    found = let(seen, lambda c: F.when(F.size(c) > 0, F.flatten(F.transform(c, stretches))).otherwise(no_spans()))
-    return F.filter(F.transform(found, beside), lambda s: s["end"] - s["start"] >= least)
+    def cut(c: Column) -> Column:
+        found = F.flatten(F.transform(c, stretches))
+        free = let(blocks(base), lambda bl: F.transform(found, lambda s: let(overlapping(bl, s), lambda met: beside(s, met))))
+        return F.filter(free, lambda s: s["end"] - s["start"] >= least)
+
+    return let(seen, lambda c: F.when(F.size(c) > 0, cut(c)).otherwise(no_spans()))
 
 
 def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:

@@ -79,15 +79,53 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _chunks(ordered_spans: Column) -> Column:
+    """Ordered spans in runs of about the square root of their number."""
+    some = F.greatest(F.ceil(F.sqrt(F.size(ordered_spans))).cast("int"), F.lit(1))
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(ordered_spans) / some).cast("int") - 1, F.lit(0)))
+    return F.transform(steps, lambda j: F.slice(ordered_spans, j * some + 1, some))
+
+
+def blocks(spans: Column) -> Column:
+    """Spans in blocks with the stretch each covers, so that :func:`overlapping` need not look at all of them."""
+    cut = F.filter(let(ordered(spans), _chunks), lambda c: F.size(c) > 0)
+    return F.transform(cut, lambda c: F.struct(c[0]["start"].alias("lo"), F.array_max(F.transform(c, lambda s: s["end"])).alias("hi"), c.alias("spans")))
+
+
+def overlapping(blocks: Column, s: Column) -> Column:
+    """The spans of ``blocks`` that share a character with ``s``."""
+
+    def met(o: Column, start: str, end: str) -> Column:
+        return (o[start] < s["end"]) & (o[end] > s["start"])
+
+    return F.flatten(F.transform(F.filter(blocks, lambda b: met(b, "lo", "hi")), lambda b: F.filter(b["spans"], lambda o: met(o, "start", "end"))))
+
+
 def redact(text: Column, spans: Column, mask: str) -> Column:
-    """Replace the union of ordered spans by one ``mask`` per connected stretch."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """Replace the union of ordered spans by one ``mask`` per connected stretch.
+
+    Works by blocks of spans, each on its own piece of the text.
+    """
+
+    def last_end(some: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(some, lambda s: s["end"])), F.lit(0))
+
+    def masked(v: Column) -> Column:
+        heads = F.transform(v["chunks"], lambda _, j: F.coalesce(F.array_max(F.slice(v["ends"], 1, j)), F.lit(0)))
+
+        def piece(head: Column, chunk: Column) -> Column:
+            def one(part: Column) -> Column:
+                def make(s: Column, i: Column) -> Column:
+                    at = F.greatest(head, last_end(F.slice(chunk, 1, i)))
+                    gap = F.substring(part, at - head + 1, s["start"] - at)
+                    return F.when(s["start"] < at, F.lit("")).otherwise(F.concat(gap, F.lit(mask)))
+
+                return F.array_join(F.transform(chunk, make), "")
+
+            return let(F.substring(text, head + 1, F.greatest(last_end(chunk) - head, F.lit(0))), one)
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        rest = let(F.array_max(v["ends"]), lambda e: F.substring(text, e + 1, F.length(text)))
+        return F.concat(F.array_join(F.zip_with(heads, v["chunks"], piece), ""), rest)
 
-    cut = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    cut = let(_chunks(spans), lambda c: let(F.struct(c.alias("chunks"), F.transform(c, last_end).alias("ends")), masked))
     return F.when(F.size(spans) > 0, cut).otherwise(text)

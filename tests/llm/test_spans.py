@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessellar.llm import pii, secrets
-from tessellar.llm.spans import find_spans
+from tessellar.llm.spans import SPAN, blocks, find_spans, ordered, overlapping, redact
 
 SCHEMA = "doc_id long, text string"
 
@@ -145,3 +145,48 @@ def test_empty_table_and_long_text(spark):
     long = frame(spark, ["1." * 50_000 + "a@b.c" + " 1-2" * 50_000, "token" + " " * 200_000, "f" * 200_000, "f" * 200_000])
     assert [r["n_hex"] for r in secrets.secret_digest(long).orderBy("doc_id").collect()] == [0, 0, 1, 1]
     assert [r["n_email"] for r in pii.personal_digest(long).orderBy("doc_id").collect()] == [1, 0, 0, 0]
+
+
+def test_blocks_and_redaction_equal_plain_loops(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("abcdé😀 ") for _ in range(rng.randint(0, 400)))
+        spans = sorted({(a, 0, min(len(text), a + rng.randint(1, 9)), "k", "") for a in (rng.randrange(len(text)) for _ in range(rng.choice([0, 1, 5, 90]) if text else 0))})
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, f"doc_id long, text string, spans array<{SPAN}>")
+    probe = F.transform("spans", lambda s: F.transform(overlapping(blocks(F.col("spans")), s), lambda o: o["start"]))
+    for r in df.select("doc_id", redact(F.col("text"), ordered(F.col("spans")), "#").alias("out"), probe.alias("met")).collect():
+        _, text, spans = rows[r["doc_id"]]
+        out, at = "", 0
+        for a, _, e, _, _ in spans:
+            out, at = (out if a < at else out + text[at:a] + "#"), max(at, e)
+        assert r["out"] == out + text[at:]
+        assert [sorted(m) for m in r["met"]] == [sorted(o[0] for o in spans if o[0] < s[2] and o[2] > s[0]) for s in spans]
+
+
+def test_personal_selection_equals_brute_force(spark):
+    """Generators, the base spans' precedence, thresholds and the longest of overlapping ones, against plain loops."""
+    import numpy as np
+
+    rng = random.Random(22)
+    pieces = [t for t, _ in pii.examples(200, seed=5)] + [" ", " call ", "4111111111111111", "123-45-6789", "a@b.cd ", "DE", "1234 ", "::", "+1 (555) 123-4567"]
+    texts = [None, "", *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(250))]
+    model = pii.fit(spark)
+    df = frame(spark, texts).withColumn("base", pii.base_spans(F.coalesce("text", F.lit(""))))
+    scored = {r["doc_id"]: r["c"] for r in df.select("doc_id", pii.candidates(F.coalesce("text", F.lit("")), F.col("base")).alias("c")).collect()}
+    some = 0
+    for r in pii.personal_digest(frame(spark, texts)).collect():
+        text, base = texts[r["doc_id"]] or "", brute_personal(texts[r["doc_id"]])
+        found = []
+        for no, (kind, pattern) in enumerate(pii.GENERATORS, 4):
+            found += [(m.start(), no, m.end(), kind) for m in re.finditer(pattern, text)]
+        found = [f for f in found if not any(b[0] < f[2] and b[2] > f[0] for b in base)]
+        x = {(c["span"]["start"], c["span"]["kind_no"], c["span"]["end"], c["span"]["kind"]): list(c["x"]) for c in scored[r["doc_id"]]}
+        assert sorted(x) == sorted(found)
+        good = [f for f in found if pii.evaluate(model.trees, model.start, np.array([x[f]]))[0] >= model.thresholds.get(f[1], np.inf)]
+        rank = lambda f: (f[0] - f[2], f[0], f[1])
+        kept = [f for f in good if not any(o != f and o[0] < f[2] and o[2] > f[0] and rank(o) < rank(f) for o in good)]
+        some += len(kept)
+        assert r["spans"] == ",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted(base + kept))
+    assert some > 50
