@@ -36,8 +36,9 @@ from tessellar.llm.graph import components
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
-#: Fingerprints at home in a shard, about; those sampled for the tree above the shards: for each shard, at least and at most.
-SHARD = 40_000
+#: Fingerprints at home in a shard, about, but MIN_SHARDS shards where they would hold MIN_SHARD or more.
+SHARD, MIN_SHARD, MIN_SHARDS = 40_000, 1000, 64
+#: Fingerprints sampled for the tree above the shards: for each shard, at least and at most.
 POINTS, MIN_SAMPLE, MAX_SAMPLE = 32, 16_384, 8_000_000
 LEAF = 256
 BLOCK = 65_536
@@ -232,6 +233,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -> DataF
     """Edges (u, v) between distinct fingerprints whose components are those of all links."""
     ship(fps.sparkSession)
     total = fps.count()
+    shard = min(shard, max(MIN_SHARD, total // MIN_SHARDS))
     share = min(1.0, sample_size(total, shard) / max(1, total))
     drawn = fps.filter(F.pmod(F.xxhash64("fp", F.lit("shards")), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toArrow()
     sample = np.sort(drawn.column("fp").to_numpy()).view(np.uint64)
