@@ -354,14 +354,31 @@ ROLE_PATTERNS = {
 }
 
 
-def roles(text: Column) -> Column:
+def roles(text: Column, patterns: dict[str, tuple[str, ...]] = ROLE_PATTERNS) -> Column:
     """Array of (role, hits, confidence) with at least one hit; beneficiary if none."""
-    made = F.array(*[F.struct(F.lit(k).alias("role"), F.regexp_count(text, F.lit("(?iu)" + "|".join(ps))).alias("hits")) for k, ps in ROLE_PATTERNS.items()])
+    made = F.array(*[F.struct(F.lit(k).alias("role"), F.regexp_count(text, F.lit("(?iu)" + "|".join(ps))).alias("hits")) for k, ps in patterns.items()])
     hit = F.transform(F.filter(made, lambda r: r["hits"] > 0), lambda r: F.struct(r["role"].alias("role"), r["hits"].alias("hits"), F.least(r["hits"] / 10.0, F.lit(1.0)).alias("confidence")))
     default = F.array(F.struct(F.lit("beneficiary").alias("role"), F.lit(0).alias("hits"), F.lit(0.0).alias("confidence")))
     return F.when(F.size(hit) > 0, hit).otherwise(default)
 
 
+def known_roles(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """``mentions`` (company, theme, text and more) with roles: those of the known list, else those of the text.
+
+    ``known``: fragment, theme, pos and roles (array of names). The entry of least pos counts whose
+    theme is equal and whose fragment the company's name holds; it has confidence 0.95. The
+    list is joined on the theme, and distinct (company, theme) pairs alone meet it.
+    """
+    pairs = mentions.select("company", "theme").distinct()
+    listed = known.select(F.col("theme").alias("__t"), F.lower("fragment").alias("__f"), "pos", F.col("roles").alias("__r"))
+    met = pairs.join(listed, (F.col("theme") == F.col("__t")) & F.contains(F.lower("company"), F.col("__f")))
+    found = met.groupBy(F.col("company").alias("__c"), F.col("theme").alias("__th")).agg(F.min_by("__r", "pos").alias("__known"))
+    joined = mentions.join(found, F.col("company").eqNullSafe(F.col("__c")) & F.col("theme").eqNullSafe(F.col("__th")), "left")
+    listed_roles = F.transform("__known", lambda r: F.struct(r.alias("role"), F.lit(0).alias("hits"), F.lit(0.95).alias("confidence")))
+    out = F.when(F.col("__known").isNotNull(), listed_roles).otherwise(roles(F.col("text")))
+    return joined.withColumn("roles", out).withColumn("from_known_list", F.col("__known").isNotNull()).drop("__c", "__th", "__known")
+
+
 # --- exploding themes --------------------------------------------------------------------
 
 

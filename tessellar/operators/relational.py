@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows a side may have to be broadcast in a containment join.
 BROADCAST_ROWS = 100_000
+#: Characters of a word that find its candidate texts.
+GRAM = 3
 
 
 def optional(df: DataFrame, *predicates: Column | None, **equals: object) -> DataFrame:
@@ -56,19 +58,27 @@ def overlapping(df: DataFrame, first: str, last: str, low: Column, high: Column)
 
 
 def contains_join(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
-    """Pairs whose text holds the word, any case. ``words`` is a checked small side.
+    """Pairs whose text holds the word anywhere, any case; empty words meet nothing.
 
-    A keyword list is a dimension; beyond BROADCAST_ROWS the words' first tokens are
-    joined to the texts' tokens and the containment is checked afterwards.
+    A keyword list is a dimension and is broadcast up to BROADCAST_ROWS. Beyond, the first
+    GRAM characters of a word (all of a shorter one) are joined to the texts' distinct
+    runs of that length, and the containment of the whole word is checked afterwards on
+    the text, which is fetched by a hash of its row. Both ways give the same pairs.
     """
-    small = words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    words = words.filter(F.length(F.col(word)) > 0)
     holds = F.contains(F.lower(F.col(text)), F.lower(F.col(word)))
-    if small:
+    if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return texts.join(F.broadcast(words), holds)
-    cut = r"[^\p{L}\p{N}]+"
-    heads = words.withColumn("__head", F.element_at(F.filter(F.split(F.lower(F.col(word)), cut), lambda w: w != ""), 1))
-    bodies = texts.withColumn("__head", F.explode(F.array_distinct(F.split(F.lower(F.col(text)), cut))))
-    return bodies.join(heads, "__head").filter(holds).drop("__head")
+    key = F.xxhash64(F.lower(F.col(text)))
+    bodies = texts.select(key.alias("__key"), F.lower(F.col(text)).alias("__body")).filter("__body is not null").dropDuplicates(["__key"])
+    low = F.lower(F.col(word))
+    out = None
+    for n in range(1, GRAM + 1):
+        heads = words.filter(F.length(low) == n if n < GRAM else F.length(low) >= n).withColumn("__gram", F.substring(low, 1, n))
+        grams = F.array_distinct(F.regexp_extract_all("__body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        met = bodies.select("__key", F.explode(grams).alias("__gram")).join(heads, "__gram").drop("__gram")
+        out = met if out is None else out.unionByName(met)
+    return texts.withColumn("__key", key).join(out, "__key").filter(holds).drop("__key")
 
 
 def in_at_least(df: DataFrame, keys: list[str], distinct: str, least: int) -> DataFrame:

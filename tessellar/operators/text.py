@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellar.operators.pattern_tables import EVENT_PATTERNS, SIGNAL_PATTERNS, THEME_ENTITIES
 from tessellar.functions.scalars import amount, content_key, url_key
 
 # Characters replaced while normalising, and lines that are dropped.
@@ -88,34 +89,29 @@ def amounts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return parsed.select("doc_id", "at", "raw", F.col("__a.value").alias("value"), F.col("__a.unit").alias("unit"))
 
 
-# A small default set of signal patterns (type, direction, confidence, pattern).
-SIGNAL_PATTERNS = (
-    ("demand_surge", "positive", 0.85, r"(?:strong|surging|record|robust|unprecedented)\s+(?:\w+\s+)?demand"),
-    ("demand_surge", "positive", 0.80, r"demand\s+(?:exceed|outpac|outstrip)\w*"),
-    ("supply_bottleneck", "negative", 0.90, r"(?:supply|component|chip|capacity)\s+(?:shortage|constraint|bottleneck)s?"),
-    ("supply_bottleneck", "negative", 0.85, r"(?:lead\s+times?|backlog)\s+(?:extend|grow|increas|lengthen)\w*"),
-    ("capex_increase", "positive", 0.90, r"(?:increas\w+|rais\w+|expand\w+)\s+(?:our\s+)?(?:capital\s+expenditures?|capex|capacity)"),
-    ("capex_increase", "positive", 0.85, r"invest\w*\s+(?:approximately\s+|over\s+)?\$\s?[\d.,]+\s*(?:billion|million)"),
-    ("technology_adoption", "positive", 0.80, r"(?:deploy|adopt|roll(?:ing)?\s+out)\w*\s+(?:\w+\s+){0,3}(?:platform|technology|solution|system)s?"),
-    ("inventory_drawdown", "negative", 0.80, r"inventor(?:y|ies)\s+(?:declin|drop|fell|deplet)\w*"),
-    ("partnership_formed", "positive", 0.80, r"(?:partner(?:ed|ship)|collaborat\w+|joint\s+venture)\s+with"),
-    ("acquisition_intent", "positive", 0.85, r"(?:acquire[ds]?|acquisition\s+of|merger(?!\s+of\s+equals))\b"),
-    ("regulatory_tailwind", "positive", 0.80, r"(?:subsid|incentive|tax\s+credit|approval)\w*"),
-    ("strategic_pivot", "positive", 0.75, r"(?:strategic\s+shift|pivot\w*)\s+to"),
+SIGNALS = (
+    "doc_id long, seq int, signal_type string, direction string, confidence double, start int, end int, context string, value double, unit string, entity string"
 )
-SIGNALS = "doc_id long, seq int, signal_type string, direction string, confidence double, start int, end int, context string"
+# Amounts in dollars.
+_MONEY = r"\$\s?(\d+(?:\.\d+)?)\s*(billion|million|trillion|B|M|bn|mn)?"
+_SCALE = {"trillion": 1e12, "billion": 1e9, "million": 1e6, "bn": 1e9, "mn": 1e6, "b": 1e9, "m": 1e6}
 
 
-def extract_signals(docs: DataFrame, patterns=SIGNAL_PATTERNS, doc_id: str = "doc_id", text: str = "text", least: float = 0.5, most: int = 100, window: int = 100, near: int = 500) -> DataFrame:
-    """Pattern hits with spans and context, thinned to one a type within ``near`` characters.
+def extract_signals(
+    docs: DataFrame, patterns=SIGNAL_PATTERNS, doc_id: str = "doc_id", text: str = "text", least: float = 0.5, most: int | None = 100, window: int = 100,
+    near: int = 500, entities=THEME_ENTITIES,
+) -> DataFrame:
+    """Pattern hits with spans, context, amount and the first named theme entity, thinned to one a type within ``near`` characters.
 
     Spans need Python's matcher, so documents pass as Arrow batches; nothing is shuffled.
-    ``most`` is tested between patterns, as part of the contract.
+    ``most`` is tested between patterns, as part of the contract; None keeps all. Null texts have no hits.
     """
     rules = [(k, d, c, p) for k, d, c, p in patterns if c >= least]
+    columns = [f.split()[0] for f in SIGNALS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(k, d, c, re.compile(p, re.I)) for k, d, c, p in rules]
+        money, named = re.compile(_MONEY, re.I), [(name, re.compile(p, re.I)) for name, p in entities]
         for pdf in batches:
             rows = []
             for key, body in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -123,43 +119,49 @@ def extract_signals(docs: DataFrame, patterns=SIGNAL_PATTERNS, doc_id: str = "do
                 for k, d, c, p in compiled:
                     for m in p.finditer(body or ""):
                         hits.append((k, d, c, m.start(), m.end()))
-                    if len(hits) >= most:
+                    if most is not None and len(hits) >= most:
                         break
                 kept: dict[str, int] = {}
                 for k, d, c, s, e in sorted(hits, key=lambda h: -h[2]):
-                    if k not in kept or abs(s - kept[k]) >= near:
+                    if k not in kept or abs(s - kept[k]) > near:
                         kept[k] = s
-                        rows.append((key, len(rows), k, d, c, s, e, body[max(0, s - window) : e + window]))
-            yield pd.DataFrame(rows, columns=["doc_id", "seq", "signal_type", "direction", "confidence", "start", "end", "context"])
+                        context = body[max(0, s - window) : e + window].strip()
+                        a = money.search(context)
+                        unit = (a[2] or "").lower() if a else ""
+                        about = next((name for name, p in named if p.search(context)), "")
+                        rows.append((key, len(kept), k, d, c, s, e, context, float(a[1]) * _SCALE.get(unit, 1.0) if a else None, f"USD_{unit or 'units'}" if a else None, about))
+            out = pd.DataFrame(rows, columns=columns)
+            out["seq"] = out.groupby("doc_id").cumcount()
+            yield out
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null").mapInPandas(run, SIGNALS)
 
 
-EVENTS = "doc_id long, event_type string, start int, magnitude double, unit string, context string"
+EVENTS = "doc_id long, event_type string, direction string, confidence double, start int, magnitude double, unit string, context string"
 
 
-def extract_events(docs: DataFrame, patterns, doc_id: str = "doc_id", text: str = "text", bucket: int = 200, most: int = 200) -> DataFrame:
-    """First hit of a type in each ``bucket`` of characters, with its amount; by position, at most ``most``.
+def extract_events(docs: DataFrame, patterns=EVENT_PATTERNS, doc_id: str = "doc_id", text: str = "text", bucket: int = 200, most: int | None = 200, least: float = 0.65) -> DataFrame:
+    """First hit of a type in each ``bucket`` of characters, with its amount; by position, at most ``most`` (None: all).
 
-    ``patterns`` are (type, pattern) in order of preference.
+    ``patterns`` are (type, direction, confidence, pattern) in order of preference; those under ``least`` are not searched.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(k, re.compile(p, re.I)) for k, p in patterns]
+        compiled = [(k, d, c, re.compile(p, re.I)) for k, d, c, p in patterns if c >= least]
         money = re.compile(r"\$\s?([\d,]+(?:\.\d+)?)\s?(billion|million|thousand)?", re.I)
         scale = {"billion": 1e9, "million": 1e6, "thousand": 1e3, "": 1.0}
         for pdf in batches:
             rows = []
             for key, body in zip(pdf["doc_id"], pdf["text"], strict=True):
                 seen: dict[tuple[str, int], tuple] = {}
-                for k, p in compiled:
+                for k, d, c, p in compiled:
                     for m in p.finditer(body or ""):
                         near = body[max(0, m.start() - 100) : m.end() + 200]
                         a = money.search(near)
                         unit = (a[2] or "").lower() if a else ""
-                        seen.setdefault((k, m.start() // bucket), (key, k, m.start(), float(a[1].replace(",", "")) * scale[unit] if a else None, f"USD_{unit}".rstrip("_") if a else None, near))
-                rows += sorted(seen.values(), key=lambda r: r[2])[:most]
-            yield pd.DataFrame(rows, columns=["doc_id", "event_type", "start", "magnitude", "unit", "context"])
+                        seen.setdefault((k, m.start() // bucket), (key, k, d, c, m.start(), float(a[1].replace(",", "")) * scale[unit] if a else None, f"USD_{unit}".rstrip("_") if a else None, near))
+                rows += sorted(seen.values(), key=lambda r: r[4])[:most]
+            yield pd.DataFrame(rows, columns=["doc_id", "event_type", "direction", "confidence", "start", "magnitude", "unit", "context"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null").mapInPandas(run, EVENTS)
 

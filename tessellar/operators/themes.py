@@ -211,13 +211,13 @@ def detect(rows: DataFrame, cfg: Config = Config(), country: str | None = None,
     return out.orderBy(F.desc(F.col("tension") + F.col("strength")), "theme_slug").limit(cfg.theme_limit)
 
 
-def bottlenecks(contexts: DataFrame, least_companies: int = 3, least_signals: int = 3, limit: int = 20) -> DataFrame:
+def bottlenecks(contexts: DataFrame, least_companies: int = 3, least_signals: int = 3, limit: int = 20, tiers=CONSTRAINT_TIERS) -> DataFrame:
     """Entities by the wording of supply constraints.
 
     ``contexts``: canonical_name, entity_type, company, doc_id, context, filed_at. Each
     context weighs by the first tier of phrases it holds.
     """
-    held = contexts.filter(F.length("context") > 20).withColumn("w", first_tier(F.col("context"), CONSTRAINT_TIERS)).filter("w > 0")
+    held = contexts.filter(F.length("context") > 20).withColumn("w", first_tier(F.col("context"), tiers)).filter("w > 0")
     rows = held.groupBy("canonical_name", "entity_type").agg(
         F.countDistinct("company").alias("n_companies"),
         F.countDistinct("doc_id").alias("n_docs"),

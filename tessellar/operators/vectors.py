@@ -28,8 +28,8 @@ def embed(docs: DataFrame, doc_id: str, text: str, dim: int = 64) -> DataFrame:
 
 
 def centroid(df: DataFrame, keys: list[str], embedding: str) -> DataFrame:
-    """Mean vector of each key, pooled as vectors."""
-    rows = df.select(*keys, array_to_vector(F.transform(embedding, lambda x: x.cast("double"))).alias("__v"))
+    """Mean vector of each key, pooled as vectors; null vectors take no part."""
+    rows = df.filter(F.col(embedding).isNotNull()).select(*keys, array_to_vector(F.transform(embedding, lambda x: x.cast("double"))).alias("__v"))
     return rows.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("__v"))).alias("centroid"))
 
 

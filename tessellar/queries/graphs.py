@@ -9,11 +9,11 @@ from tessellar.functions.scalars import q
 from tessellar.operators import graph as G
 from tessellar.queries import query
 
-_BIG = "select src, dst, weight from {edges} where (src = 'NATION_3' or weight % 3 = 0) and weight >= 5"
+_BIG = "select src, dst, weight from {edges} where weight >= 5"
 
 
 def _big(spark, d):
-    return bind(spark, d, "edges").filter("(src = 'NATION_3' or weight % 3 = 0) and weight >= 5")
+    return bind(spark, d, "edges").filter("weight >= 5")
 
 
 @query("""select node, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint) as out_degree, cast(sum(i + o) as bigint) as degree
@@ -75,9 +75,9 @@ def emerging_relationships(spark, d):
     return s.filter("signal_type = 'technology_adoption'").crossJoin(last).filter("signal_date >= date_sub(last, 90)").select("doc_id", "entity_id", "signal_date")
 
 
-@query("""select supplier_id, entity_id, cast(count(*) as bigint) as n from {signals} where signal_type in ('technology_adoption', 'capex_increase') and entity_id < 50 group by 1, 2 order by n desc, supplier_id, entity_id limit 50""")
+@query("""select supplier_id, entity_id, cast(count(*) as bigint) as n from {signals} where signal_type in ('technology_adoption', 'capex_increase') group by 1, 2 order by n desc, supplier_id, entity_id limit 50""")
 def companies_by_technology(spark, d):
-    rows = bind(spark, d, "signals").filter(F.col("signal_type").isin("technology_adoption", "capex_increase") & (F.col("entity_id") < 50)).groupBy("supplier_id", "entity_id").agg(F.count("*").alias("n"))
+    rows = bind(spark, d, "signals").filter(F.col("signal_type").isin("technology_adoption", "capex_increase")).groupBy("supplier_id", "entity_id").agg(F.count("*").alias("n"))
     return rows.orderBy(F.desc("n"), "supplier_id", "entity_id").limit(50)
 
 

@@ -22,7 +22,7 @@ def signal_extract(spark, d):
 
 @query()
 def event_extract(spark, d):
-    return T.extract_events(bind(spark, d, "documents"), [(k, p) for k, _, _, p in CORPUS_PATTERNS])
+    return T.extract_events(bind(spark, d, "documents"), CORPUS_PATTERNS)
 
 
 @query()

@@ -59,10 +59,10 @@ def document_signals(spark, d):
     return rows.orderBy(F.desc("confidence_pm"), "entity_id").select("doc_id", "entity_id", "signal_type", "confidence_pm")
 
 
-@query("select distinct f.doc_id, b.theme from {filings} f join {beneficiaries} b on lower(b.ticker) = lower(f.ticker) where f.doc_id < 200")
+@query("select distinct f.doc_id, b.theme from {filings} f join {beneficiaries} b on lower(b.ticker) = lower(f.ticker)")
 def document_themes(spark, d):
     b = bind(spark, d, "beneficiaries").select(F.lower("ticker").alias("k"), "theme")
-    return bind(spark, d, "filings").filter("doc_id < 200").join(b, F.lower("ticker") == F.col("k")).select("doc_id", "theme").distinct()
+    return bind(spark, d, "filings").join(b, F.lower("ticker") == F.col("k")).select("doc_id", "theme").distinct()
 
 
 @query("""select f.company, max(f.ticker) as ticker, cast(count(*) as bigint) as filings, min(filed_at) as first_filed, max(filed_at) as last_filed,

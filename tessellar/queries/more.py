@@ -25,7 +25,7 @@ def document_strength(spark, d):
     return bind(spark, d, "orders").select("o_orderkey", q(s).alias("strength"))
 
 
-_E = "select m.doc_id, case when m.doc_id % 2 = 0 then upper(e.canonical_name) else e.canonical_name end as canonical_name, e.entity_type, cast(e.size as double) as confidence from {mentions} m join {entities} e on e.entity_id = m.entity_id where m.doc_id < 3000"
+_E = "select m.doc_id, case when m.doc_id % 2 = 0 then upper(e.canonical_name) else e.canonical_name end as canonical_name, e.entity_type, cast(e.size as double) as confidence from {mentions} m join {entities} e on e.entity_id = m.entity_id"
 
 
 @query(f"""select doc_id, canonical_name, entity_type, confidence from (select *, row_number() over (partition by doc_id order by confidence desc, canonical_name, entity_type) as r2 from (
@@ -35,9 +35,9 @@ def entity_dedup_capped(spark, d):
 
 
 @query(f"""select count(*)::bigint as entities, count(*) filter (where entity_type = 'COMPANY')::bigint as companies from (select distinct doc_id, lower(canonical_name) as n, entity_type from ({_E}) x
-           union select doc_id, lower(company), 'COMPANY' from {{filings}} where doc_id < 3000) y""")
+           union select doc_id, lower(company), 'COMPANY' from {{filings}}) y""")
 def filer_injection(spark, d):
-    rows = K.inject_filers(sql(spark, d, _E), bind(spark, d, "filings").filter("doc_id < 3000"))
+    rows = K.inject_filers(sql(spark, d, _E), bind(spark, d, "filings"))
     return rows.agg(F.count("*").alias("entities"), F.count(F.when(F.col("entity_type") == "COMPANY", 1)).alias("companies"))
 
 
@@ -114,9 +114,9 @@ def graph_context_neighbours(spark, d):
     return K.graph_context(bind(spark, d, "edges"), ["NATION_1", "NATION_2"])["neighbours"].select("src", "dst", "weight")
 
 
-@query("""select doc_id, cast(v as double) as value, 'GW' as unit, 2030 as year from (select o_orderkey as doc_id, o_orderkey % 500 as v from {orders} where o_orderkey < 1000 and o_orderkey % 3 = 0) x""")
+@query("""select doc_id, cast(v as double) as value, 'GW' as unit, 2030 as year from (select o_orderkey as doc_id, o_orderkey % 500 as v from {orders} where o_orderkey % 3 = 0) x""")
 def policy_target_extract(spark, d):
-    o = bind(spark, d, "orders").filter("o_orderkey < 1000")
+    o = bind(spark, d, "orders")
     k = F.col("o_orderkey")
     text = F.when(k % 3 == 0, F.concat(F.lit("India plans Solar capacity of "), (k % 500).cast("string"), F.lit(" GW to be met by 2030."))).otherwise("No plan")
     return I.policy_targets(o.select(k.alias("doc_id"), text.alias("text")), "solar")
@@ -133,11 +133,11 @@ def sector_overlap(spark, d):
     return bind(spark, d, "customer").filter(both).select("c_custkey", "c_mktsegment")
 
 
-@query("""select distinct p.p_partkey, t.theme from (select distinct theme from {snapshots}) t join (select p_partkey, unnest(string_split(lower(p_type) || ' ' || 'nation_' || p_size % 5, ' ')) as w from {part} where p_partkey < 300) p on contains(t.theme, p.w)""")
+@query("""select distinct p.p_partkey, t.theme from (select distinct theme from {snapshots}) t join (select p_partkey, unnest(string_split(lower(p_type) || ' ' || 'nation_' || p_size % 5, ' ')) as w from {part}) p on contains(t.theme, p.w)""")
 def policy_theme_tokens(spark, d):
     from tessellar.operators.relational import contains_join
 
-    p = bind(spark, d, "part").filter("p_partkey < 300")
+    p = bind(spark, d, "part")
     words = p.select("p_partkey", F.explode(F.split(F.concat_ws(" ", F.lower("p_type"), F.concat(F.lit("nation_"), (F.col("p_size") % 5).cast("string"))), " ")).alias("w"))
     themes = bind(spark, d, "snapshots").select("theme").distinct()
     met = contains_join(themes, "theme", words.select("w").distinct(), "w")

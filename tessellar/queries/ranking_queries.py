@@ -134,7 +134,7 @@ def cross_tech_downstream(spark, d):
     return I.adoption_pairs(_facts(spark, d)).select("tech", "downstream", "adoptions", "demands")
 
 
-_LINKS = "select p_partkey % 40 as chain_id, p_partkey as pos, p_name as cause, p_type as effect, 0.5 + (p_size % 5) / 10.0 as probability from {part} where p_partkey < 200"
+_LINKS = "select p_partkey % 40 as chain_id, p_partkey as pos, p_name as cause, p_type as effect, 0.5 + (p_size % 5) / 10.0 as probability from {part}"
 
 
 @query(f"""select cast(chain_id as bigint) as chain_id, floor(case when count(*) < 2 then 0.0 else sum(case when exists (select 1 from (select distinct p_name as n from {{part}} where p_size <= 3) a where a.n = cause or (cause like '% %' and length(cause) >= 8 and length(a.n) >= 4 and (a.n like '%' || cause || '%' or cause like '%' || a.n || '%'))) then probability else 0 end) / sum(probability) * 100.0 end * 1e4 + 0.5) / 1e4 as score
@@ -145,9 +145,9 @@ def causal_chain_scores(spark, d):
     return I.score_chains(links.withColumn("probability", F.col("probability").cast("double")), active).select(F.col("chain_id").cast("bigint").alias("chain_id"), q(F.col("score")).alias("score"))
 
 
-@query("select cast(o_custkey as bigint) as chain_id, cast(r - 1 as bigint) as pos, o_orderkey as effect from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as r from {orders} where o_custkey < 100) x where r > 1")
+@query("select cast(o_custkey as bigint) as chain_id, cast(r - 1 as bigint) as pos, o_orderkey as effect from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as r from {orders}) x where r > 1")
 def second_order_links(spark, d):
-    o = bind(spark, d, "orders").filter("o_custkey < 100").groupBy(F.col("o_custkey").cast("bigint").alias("chain_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("links"))
+    o = bind(spark, d, "orders").groupBy(F.col("o_custkey").cast("bigint").alias("chain_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("links"))
     links = o.select("chain_id", F.posexplode("links").alias("pos", "l")).select("chain_id", F.col("pos").cast("bigint").alias("pos"), F.col("l.o_orderkey").alias("effect"))
     return I.second_order(links)
 
@@ -259,17 +259,17 @@ def localization_score(spark, d):
 
 
 @query("""select o_orderkey, sector, floor(least(1.0, case sector when 'solar' then 0.75 when 'power_transmission' then 0.85 else 0.40 end + least(o_totalprice / 100.0 / 5000.0, 0.20)) * 1e4 + 0.5) / 1e4 as strength
-          from (select *, case when o_orderpriority like '1%' then 'solar' when o_orderpriority like '2%' then 'power_transmission' else 'infrastructure' end as sector from {orders} where o_orderkey < 2000) x""")
+          from (select *, case when o_orderpriority like '1%' then 'solar' when o_orderpriority like '2%' then 'power_transmission' else 'infrastructure' end as sector from {orders}) x""")
 def tender_classification(spark, d):
-    rows = bind(spark, d, "orders").filter("o_orderkey < 2000")
+    rows = bind(spark, d, "orders")
     title = F.when(F.col("o_orderpriority").startswith("1"), "Tender: Solar park").when(F.col("o_orderpriority").startswith("2"), "400 kV Substation works").otherwise("Road works")
     rows = rows.withColumn("sector", I.tender_sector(title))
     return rows.select("o_orderkey", "sector", q(I.tender_strength(F.col("sector"), F.col("o_totalprice") / 100.0)).alias("strength"))
 
 
-@query("""select o_orderkey, round(o_totalprice / 1000.0) * 1e6 as value, 'USD_million' as unit from {orders} where o_orderkey < 3000""")
+@query("""select o_orderkey, round(o_totalprice / 1000.0) * 1e6 as value, 'USD_million' as unit from {orders}""")
 def amount_extract(spark, d):
-    rows = bind(spark, d, "orders").filter("o_orderkey < 3000")
+    rows = bind(spark, d, "orders")
     text = F.concat(F.lit("a total of $"), F.format_number(F.round(F.col("o_totalprice") / 1000.0), 0), F.lit(" million was booked"))
     return rows.withColumn("a", amount(text)).select("o_orderkey", "a.value", "a.unit")
 

@@ -93,8 +93,8 @@ def sentiment_scores(spark, d):
 
 @query("""select doc_id, role, cast(hits as integer) as hits from (select doc_id, unnest([{'role': 'supplier', 'hits': len(regexp_extract_all(lower(text), 'thea|onan'))}, {'role': 'beneficiary', 'hits': len(regexp_extract_all(lower(text), 'eau(x)?'))}], recursive := true) from {documents}) x where hits > 0""")
 def role_hits(spark, d):
-    made = F.array(*[F.struct(F.lit(k).alias("role"), F.regexp_count(F.lower("text"), F.lit(p)).alias("hits")) for k, p in (("supplier", "thea|onan"), ("beneficiary", "eau(x)?"))])
-    rows = bind(spark, d, "documents").select("doc_id", F.explode(made).alias("r"))
+    patterns = {"supplier": ("thea", "onan"), "beneficiary": ("eau(x)?",)}
+    rows = bind(spark, d, "documents").select("doc_id", F.explode(I.roles(F.col("text"), patterns)).alias("r"))
     return rows.select("doc_id", "r.role", "r.hits").filter("hits > 0")
 
 
@@ -120,10 +120,10 @@ def cosine_topk(spark, d):
     return out.select(F.col("query").alias("label"), F.col("key").alias("vec_id"), S.q(F.col("score"), 6).alias("score"), "rank")
 
 
-@query("""select label, pos, floor(avg(x) * 1e5 + 0.5) / 1e5 as mean from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from {embeddings}) y where pos < 8 group by 1, 2""")
+@query("""select label, pos, floor(avg(x) * 1e5 + 0.5) / 1e5 as mean from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from {embeddings}) y group by 1, 2""")
 def centroid_by_label(spark, d):
-    rows = bind(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x")).filter("pos < 8")
-    return rows.groupBy("label", F.col("pos").cast("bigint").alias("pos")).agg(S.q(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+    rows = V.centroid(bind(spark, d, "embeddings"), ["label"], "embedding").select("label", F.posexplode("centroid").alias("pos", "x"))
+    return rows.select("label", F.col("pos").cast("bigint").alias("pos"), S.q(F.col("x"), 5).alias("mean"))
 
 
 @query("""select page_id, cast(length(x) > 0 as boolean) as has_text, md5(x) as digest from (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style[^>]*>.*?</style\\s*>', ' ', 'g'),
@@ -139,11 +139,11 @@ def company_names(spark, d):
     return c.select("c_custkey", S.strip_suffix(F.concat("c_name", F.lit(" Inc."))).alias("name"), S.slug(F.col("c_name")).alias("slug"))
 
 
-@query("select o_orderkey, cast(o_orderdate as date) as parsed from {orders} where o_orderkey < 5000")
+@query("select o_orderkey, cast(o_orderdate as date) as parsed from {orders}")
 def date_formats(spark, d):
     k, day = F.col("o_orderkey") % 4, F.col("o_orderdate")
     text = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "dd-MM-yyyy")).when(k == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd MMM yyyy"))
-    return bind(spark, d, "orders").filter("o_orderkey < 5000").select("o_orderkey", S.parse_date(text).alias("parsed"))
+    return bind(spark, d, "orders").select("o_orderkey", S.parse_date(text).alias("parsed"))
 
 
 @query("""select p_partkey, lower(p_name) as name, case when p_brand = 'Brand#1' then p_type else p_brand end as company from {part}""")

@@ -113,13 +113,14 @@ def bottleneck_weights(spark, d):
             case when quarter_count >= 3 and n_companies >= 5 then 'confirmed' when quarter_count >= 2 or n_companies >= 4 then 'developing' else 'emerging' end as conviction
           from (select *, wc / 100.0 / n_docs * least(n_companies / 3.0, 2.0) * least(quarter_count / 2.0, 1.5) as idx
                 from (select source, sum(w) as wc, count(*) as n_docs, count(distinct lang) as n_companies, count(distinct doc_id % 4) as quarter_count
-                      from (select source, lang, doc_id, case when lower(text) like '%tion%' then 150 when lower(text) like '%der %' then 125 else 0 end as w from {documents}) a where w > 0 group by 1) b) c) e""")
+                      from (select source, lang, doc_id, case when lower(text) like '%tion%' then 150 when lower(text) like '%der %' then 125 else 0 end as w from {documents} where length(text) > 20) a where w > 0 group by 1) b) c) e""")
 def bottleneck_severity(spark, d):
-    w = first_tier(F.col("text"), ((("tion",), 1.5), (("der ",), 1.25)))
-    rows = bind(spark, d, "documents").withColumn("w", (w * 100).cast("bigint")).filter("w > 0")
-    rows = rows.groupBy("source").agg(F.sum("w").alias("weight_c"), F.count("*").alias("n_docs"), F.countDistinct("lang").alias("n_companies"), F.countDistinct(F.col("doc_id") % 4).alias("quarter_count"))
-    out = T.bottleneck_scores(rows.withColumn("weight", F.col("weight_c") / 100.0))
-    return out.select("source", "weight_c", "severity", q(F.col("strength"), 2).alias("strength"), "conviction")
+    day = F.make_date(F.lit(2020), (F.col("doc_id") % 4 * 3 + 1).cast("int"), F.lit(1))
+    rows = bind(spark, d, "documents").select(
+        F.col("source").alias("canonical_name"), F.lit("SOURCE").alias("entity_type"), F.col("lang").alias("company"), "doc_id", F.col("text").alias("context"), day.alias("filed_at")
+    )
+    out = T.bottlenecks(rows, 0, 0, 1000, ((("tion",), 1.5), (("der ",), 1.25)))
+    return out.select(F.col("canonical_name").alias("source"), "weight_c", "severity", q(F.col("strength"), 2).alias("strength"), "conviction")
 
 
 _FACTS = "select m.doc_id, m.entity_id, f.company from {mentions} m join {filings} f on f.doc_id = m.doc_id"
