@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellar.operators.settle import checkpointed
+
 #: Relation of a company to a technology by stems in the text, first match wins.
 RELATION_STEMS = (("DEVELOPS", r"develop|design|build|manufactur"), ("INVESTS_IN", r"invest|capex|fund|acquir"), ("USES", r"\buse|deploy|adopt|integrat"))
 PAIR_WEIGHT = 0.3
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessellar-graph-"))
-    return df.checkpoint()
-
-
 def relation(context: Column) -> Column:
     """DEVELOPS, INVESTS_IN or USES by the stems of a context, else null."""
     out = F.lit(None).cast("string")
@@ -78,10 +71,10 @@ def reach(edges: DataFrame, root: str, depth: int = 20) -> DataFrame:
     e = edges.select(F.col("src").alias("__s"), F.col("dst").alias("node")).distinct()
     front = seen
     for hop in range(1, depth + 1):
-        front = _settle(front.select(F.col("node").alias("__s")).join(e, "__s").select("node").distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        front = checkpointed(front.select(F.col("node").alias("__s")).join(e, "__s").select("node").distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        seen = _settle(seen.unionByName(front))
+        seen = checkpointed(seen.unionByName(front))
     return seen
 
 
@@ -96,14 +89,14 @@ def degree(edges: DataFrame, least: int = 3) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component (its least node) by min-label propagation with pointer jumping."""
-    both = _settle(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
+    both = checkpointed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
     label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     changed = None
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         stepped = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", "m").alias("component"))
         up = stepped.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
-        label = _settle(stepped.join(up, F.col("component") == F.col("__n")).select("node", F.least("component", "__c").alias("component")))
+        label = checkpointed(stepped.join(up, F.col("component") == F.col("__n")).select("node", F.least("component", "__c").alias("component")))
         mark = label.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
         if mark == changed:
             return label

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessellar.operators.pattern_tables import EVENT_PATTERNS, SIGNAL_PATTERNS, THEME_ENTITIES
 from tessellar.functions.scalars import amount, content_key, url_key
+from tessellar.operators.relational import BROADCAST_ROWS
 
 # Characters replaced while normalising, and lines that are dropped.
 REPLACEMENTS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", " ": " ", "ﬁ": "fi", "ﬂ": "fl"}
@@ -72,13 +73,20 @@ def keyword_entities(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id"
     """(doc_id, keyword, entity_type) for lexicon words found as whole words, any case.
 
     One-word keywords join the documents' distinct words; phrases are looked for in the
-    documents that hold their first word. No document meets the whole lexicon.
+    documents that hold their first word, whose texts are fetched then. No document meets
+    the whole lexicon, which is broadcast up to BROADCAST_ROWS rows.
     """
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), WORD_CUT))).alias("__w"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), WORD_CUT))).alias("__w"))
     lex = lexicon.withColumn("__k", F.lower("keyword")).withColumn("__h", F.element_at(F.split("__k", WORD_CUT), 1))
-    hits = words.join(F.broadcast(lex), F.col("__w") == F.col("__h"))
-    whole = F.rlike(F.lower("__t"), F.concat(F.lit(r"(?U)\b\Q"), F.col("__k"), F.lit(r"\E\b")))
-    return hits.filter((F.col("__k") == F.col("__h")) | whole).select("doc_id", "keyword", "entity_type").distinct()
+    if lex.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        lex = F.broadcast(lex)
+    hits = words.join(lex, F.col("__w") == F.col("__h"))
+    out = ["doc_id", "keyword", "entity_type"]
+    phrases = hits.filter(F.col("__k") != F.col("__h")).select(*out, "__k").distinct()
+    bodies = docs.select(F.col(doc_id).alias("__d"), F.lower(F.col(text)).alias("__t"))
+    whole = F.rlike("__t", F.concat(F.lit(r"(?U)\b\Q"), F.col("__k"), F.lit(r"\E\b")))
+    met = phrases.join(bodies, F.col("doc_id").eqNullSafe(F.col("__d"))).filter(whole)
+    return hits.filter(F.col("__k") == F.col("__h")).select(*out).unionByName(met.select(*out)).distinct()
 
 
 def amounts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

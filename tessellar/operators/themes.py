@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessellar.config import CONSTRAINT_TIERS, DEMAND, SUPPLY, Config
 from tessellar.functions.scalars import clamp, first_tier, slug
 from tessellar.operators.relational import count_if
+from tessellar.operators.settle import written
 
 # Spellings and the name they stand for.
 ALIASES = {
@@ -125,6 +126,7 @@ def clusters(signals: DataFrame, filings: DataFrame, mentions: DataFrame, entiti
         F.count("*").alias("docs"), F.sum(recent).alias("recent"), F.collect_set(F.year("filed_at") * 4 + F.quarter("filed_at")).alias("quarters"),
         F.min("filed_at").alias("first"), F.max("filed_at").alias("last"), F.sum("n").alias("n"), F.sum("tight").alias("tight"), *[F.sum(c).alias(c) for c in counts],
     )
+    by_company = written(by_company)  # the fan-out runs once, for the entities and for the total
     out = by_company.groupBy(*name).agg(
         F.count("company").alias("n_companies"),
         F.sum("docs").alias("n_docs"),

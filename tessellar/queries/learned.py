@@ -55,11 +55,11 @@ def hashed_embeddings(spark, d):
     return V.embed(bind(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n from {events} group by 1, 2")
 def stream_hourly_counts(spark, d):
     return S.hourly_counts(spark, d)
 
 
-@query()
+@query("select event_type, count(*) as n from (select distinct user_id, event_type from {events}) x group by 1")
 def stream_deduplicated(spark, d):
     return S.deduplicated(spark, d)

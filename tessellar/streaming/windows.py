@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellar.operators.settle import shared_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream with event time (``ts`` without zone is read as UTC)."""
@@ -36,17 +38,24 @@ def deduplicate(events: DataFrame, keys: list[str], late: str = "1 day") -> Data
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all available input and return its result as a table (small results, tests)."""
-    name = f"tessellar_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all available input and return its result, a table in the shared folder."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    kept: list[int] = []
+
+    def put(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+        kept.append(no)
+
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows") if kept else spark.createDataFrame([], stream.schema)
 
 
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type, through a stream."""
+    """Events by hour (as text) and type, through a stream."""
     rows = drain(tumbling(event_stream(spark, sf_dir), "1 hour", "10 minutes", "event_type"))
-    return rows.select(F.col("window.start").alias("hour"), "event_type", "n")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
 
 
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
