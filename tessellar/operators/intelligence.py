@@ -78,6 +78,46 @@ def tension_chains(facts: DataFrame, first: str, second: str, least_first: int,
     )
 
 
+def policy_tension(facts: DataFrame, least_demand: int = 2, least_supply: int = 1, most: int = 40) -> DataFrame:
+    """Entities that policy documents name with both demand and bottlenecks; counted by document, since such documents have no company.
+
+    ``facts``: entity, signal_type, doc_id, day of the policy documents. One conditional aggregation.
+    """
+    a, b = F.col("signal_type") == "demand_surge", F.col("signal_type") == "supply_bottleneck"
+    rows = facts.filter((a | b) & (F.length("entity") >= 3)).groupBy("entity").agg(
+        F.countDistinct(F.when(a, F.col("doc_id"))).alias("demand_docs"),
+        F.countDistinct(F.when(b, F.col("doc_id"))).alias("supply_docs"),
+        F.count("*").alias("signals"),
+        F.min(F.when(a, F.col("day"))).alias("demand_first"),
+        F.min(F.when(b, F.col("day"))).alias("supply_first"),
+    )
+    rows = rows.filter((F.col("demand_docs") >= least_demand) & (F.col("supply_docs") >= least_supply)).orderBy(F.desc("signals"), "entity").limit(most)
+    p1, p2 = F.least(F.lit(0.92), 0.65 + 0.06 * F.col("demand_docs")), F.least(F.lit(0.90), 0.60 + 0.08 * F.col("supply_docs"))
+    lag = F.coalesce(F.least(F.greatest(F.abs(F.datediff("supply_first", "demand_first")), F.lit(30)), F.lit(365)), F.lit(90))
+    return rows.withColumn("lag_days", lag).withColumn("p1", p1).withColumn("p2", p2).withColumn("activation", F.least(F.col("p1") * F.col("p2") * 100.0, F.lit(100.0))).withColumn(
+        "chain_id", F.concat(F.lit("policy-tension-"), F.substring(F.regexp_replace(F.lower("entity"), "[^a-z0-9]+", "-"), 1, 30))
+    )
+
+
+def policy_confirmed(policy: DataFrame, filings: DataFrame, least_docs: int = 2, least_companies: int = 2, most: int = 30) -> DataFrame:
+    """Entities with tailwind or demand in policy documents whose demand companies confirm in their filings.
+
+    ``policy``: entity, signal_type, doc_id, day; ``filings``: entity, signal_type, company.
+    Both sides are aggregated before they meet, by name in any case.
+    """
+    said = policy.filter(F.col("signal_type").isin("regulatory_tailwind", "demand_surge") & (F.length("entity") >= 3)).groupBy("entity").agg(
+        F.countDistinct("doc_id").alias("policy_docs"), F.min("day").alias("policy_first")
+    )
+    seen = filings.filter((F.col("signal_type") == "demand_surge") & F.col("company").isNotNull() & (F.col("company") != "") & (F.length("entity") >= 3))
+    seen = seen.groupBy(F.col("entity").alias("__e")).agg(F.countDistinct("company").alias("companies"), F.count("*").alias("signals"))
+    met = said.filter(F.col("policy_docs") >= least_docs).join(seen.filter(F.col("companies") >= least_companies), F.lower("entity") == F.lower("__e")).drop("__e")
+    met = met.orderBy(F.desc("policy_docs"), F.desc("companies"), "entity").limit(most)
+    p1, p2 = F.least(F.lit(0.95), 0.70 + 0.05 * F.col("policy_docs")), F.least(F.lit(0.92), 0.65 + 0.04 * F.col("companies"))
+    return met.withColumn("p1", p1).withColumn("p2", p2).withColumn("activation", F.least(F.col("p1") * F.col("p2") * 100.0, F.lit(100.0))).withColumn(
+        "chain_id", F.concat(F.lit("policy-co-"), F.substring(F.regexp_replace(F.lower("entity"), "[^a-z0-9]+", "-"), 1, 30))
+    )
+
+
 def adoption_pairs(facts: DataFrame, tops: int = 25, pairs: int = 60, least_first: int = 4, least_second: int = 3) -> DataFrame:
     """Adopted technologies times demanded entities, but themselves; both sides are cut before they meet."""
     tech = facts.filter("signal_type = 'technology_adoption'").groupBy(F.col("entity").alias("tech")).agg(F.countDistinct("company").alias("tech_companies"), F.count("*").alias("adoptions"))

@@ -213,6 +213,56 @@ def detect(rows: DataFrame, cfg: Config = Config(), country: str | None = None,
     return out.orderBy(F.desc(F.col("tension") + F.col("strength")), "theme_slug").limit(cfg.theme_limit)
 
 
+def detect_raw(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Themes straight from signal rows, where no clusters were counted: as :func:`detect` without recency, chains and wording.
+
+    ``rows``: signal_id, canonical_name, entity_type, company, sector, signal_type, doc_id. A
+    signal counts once an entity however often it comes. The bonus follows the filings, and
+    conviction does not look at quarters.
+    """
+    named = rows.withColumn("name", F.trim("canonical_name")).filter(F.col("name").isNotNull() & ~is_noise_name(F.col("name")))
+    some = named.select("name", "signal_id", "signal_type", F.nullif("company", F.lit("")).alias("company"), "doc_id",
+                        F.nullif(F.when(F.col("entity_type") == "SECTOR", F.col("name")).otherwise(F.col("sector")), F.lit("")).alias("sector"))
+    some = written(some)  # read by the three counts below
+    kind = F.col("signal_type")
+    by_kind = some.filter(kind.isNotNull() & (kind != "")).groupBy("name", "signal_type").agg(F.countDistinct("signal_id").alias("n"))
+    counts = by_kind.groupBy("name").agg(
+        F.sum("n").alias("total_signals"), F.count("*").alias("kinds"), F.max("n").alias("top"), F.max_by("signal_type", F.struct("n", "signal_type")).alias("common"),
+        F.sum(F.when(kind.isin(*DEMAND), F.col("n")).otherwise(0)).alias("demand_count"), F.sum(F.when(kind.isin(*SUPPLY), F.col("n")).otherwise(0)).alias("supply_count"),
+        F.sum(F.when(F.contains(kind, F.lit("capex")), F.col("n")).otherwise(0)).alias("capex_count"),
+        *[F.sum(F.when(kind == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in ("supply_bottleneck", "demand_surge", "capex_increase")],
+    )
+    breadth = some.groupBy("name").agg(F.countDistinct("company").alias("n_companies"), F.countDistinct("sector").alias("n_sectors"), F.countDistinct("doc_id").alias("n_docs"))
+    whole = some.agg(F.greatest(F.countDistinct("company"), F.lit(1)).alias("total_companies"), F.greatest(F.countDistinct("sector"), F.lit(1)).alias("total_sectors"))
+    out = counts.join(breadth, "name").crossJoin(F.broadcast(whole))  # one row
+    d, s, c, n, docs = (F.col(k).cast("double") for k in ("demand_count", "supply_count", "capex_count", "n_companies", "n_docs"))
+    least = adaptive_companies(F.col("total_companies"), cfg.max_adaptive_companies)
+    coherence = coherence_noise(F.col("total_signals"), F.col("kinds"), F.col("top"), d, s)
+    noise = noise_score(n, F.col("total_companies"), F.col("total_signals"), word_shape_noise(F.col("name")), coherence, F.col("n_sectors"), F.col("total_sectors"))
+    tension_gate = (d >= cfg.min_tension_demand) & (s >= cfg.min_tension_supply)
+    most_cos, early_cos = F.greatest(F.lit(cfg.min_companies), least), F.greatest(F.lit(cfg.min_early_companies), least)
+    capex_gate = (c >= most_cos) & (n >= most_cos)
+    early_gate = (d >= cfg.min_early_demand) & (s < cfg.min_tension_supply) & (n >= early_cos) & (c >= 2)
+    tension = F.when(tension_gate, F.least(2.0 * d * s / (d + s) * 12.0, F.lit(60.0))).when(early_gate, F.least(d * 4.0, F.lit(30.0))).otherwise(0.0)
+    bonus = F.when(docs >= 6, 10.0).when(docs >= 3, 5.0).otherwise(0.0)
+    dominant = F.col("common")
+    for k in ("capex_increase", "demand_surge", "supply_bottleneck"):
+        dominant = F.when(F.col(f"n_{k}") > 0, k).otherwise(dominant)
+    return (
+        out.withColumn("noise", noise)
+        .filter(F.col("noise") <= noise_limit(F.col("total_companies")))
+        .filter(tension_gate | capex_gate | early_gate)
+        .filter((n >= least) & (docs >= F.greatest(F.lit(2), F.floor(least * 1.2))))
+        .withColumn("tension", tension)
+        .withColumn("strength", F.least(F.col("tension") + F.least(c * 8.0, F.lit(30.0)) + F.least(n * 2.0, F.lit(20.0)) + bonus, F.lit(100.0)))
+        .withColumn("dominant_signal", dominant)
+        .withColumn("conviction", F.when((F.col("tension") >= 40) & (n >= 4), "confirmed").when((F.col("tension") >= 20) | capex_gate, "developing").otherwise("emerging"))
+        .withColumn("entity_slug", slug(F.col("name")))
+        .withColumn("theme_slug", F.concat(F.lit("auto-"), F.col("entity_slug"), F.lit("-"), F.substring(F.replace(F.col("dominant_signal"), F.lit("_"), F.lit("-")), 1, 15)))
+        .orderBy(F.desc("strength"), "theme_slug")
+    )
+
+
 def bottlenecks(contexts: DataFrame, least_companies: int = 3, least_signals: int = 3, limit: int = 20, tiers=CONSTRAINT_TIERS) -> DataFrame:
     """Entities by the wording of supply constraints.
 

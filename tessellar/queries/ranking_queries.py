@@ -107,6 +107,34 @@ def _facts(spark, d):
     return bind(spark, d, "signals").select("doc_id", "entity_id", "signal_type").join(f, "doc_id").join(e, "entity_id")
 
 
+# policy documents = the filings of one segment
+_POLICY = "select e.canonical_name as entity, s.signal_type, s.doc_id, f.company, f.filed_at as day, f.segment = 'MACHINERY' as policy from {signals} s join {filings} f on f.doc_id = s.doc_id join {entities} e on e.entity_id = s.entity_id where f.filed_at between date '1996-01-01' and date '1998-12-31'"
+
+
+def _policy(spark, d):
+    f = window(bind(spark, d, "filings"), "1996-01-01", "1998-12-31").select("doc_id", "company", F.col("filed_at").alias("day"), (F.col("segment") == "MACHINERY").alias("policy"))
+    e = bind(spark, d, "entities").select("entity_id", F.col("canonical_name").alias("entity"))
+    return bind(spark, d, "signals").select("doc_id", "entity_id", "signal_type").join(f, "doc_id").join(e, "entity_id")
+
+
+@query(f"""select entity, demand_docs, supply_docs, least(greatest(abs(supply_first - demand_first), 30), 365) as lag_days, floor(least(0.92, 0.65 + 0.06 * demand_docs) * least(0.90, 0.60 + 0.08 * supply_docs) * 100.0 * 1e4 + 0.5) / 1e4 as activation
+           from (select entity, count(distinct doc_id) filter (where signal_type = 'demand_surge') as demand_docs, count(distinct doc_id) filter (where signal_type = 'supply_bottleneck') as supply_docs,
+                   count(*) filter (where signal_type in ('demand_surge', 'supply_bottleneck')) as signals, min(day) filter (where signal_type = 'demand_surge') as demand_first, min(day) filter (where signal_type = 'supply_bottleneck') as supply_first
+                 from ({_POLICY}) p where policy group by 1) x where demand_docs >= 2 and supply_docs >= 1 order by signals desc, entity limit 40""")
+def policy_tension_chains(spark, d):
+    rows = I.policy_tension(_policy(spark, d).filter("policy"))
+    return rows.select("entity", "demand_docs", "supply_docs", F.col("lag_days").cast("bigint").alias("lag_days"), q(F.col("activation")).alias("activation"))
+
+
+@query(f"""select x.entity, policy_docs, companies, floor(least(0.95, 0.70 + 0.05 * policy_docs) * least(0.92, 0.65 + 0.04 * companies) * 100.0 * 1e4 + 0.5) / 1e4 as activation
+           from (select entity, count(distinct doc_id) as policy_docs from ({_POLICY}) p where policy and signal_type in ('regulatory_tailwind', 'demand_surge') group by 1 having count(distinct doc_id) >= 2) x
+           join (select entity, count(distinct company) as companies from ({_POLICY}) p where not policy and signal_type = 'demand_surge' group by 1 having count(distinct company) >= 2) y on lower(x.entity) = lower(y.entity)
+           order by policy_docs desc, companies desc, x.entity limit 30""")
+def policy_confirmed_chains(spark, d):
+    rows = _policy(spark, d)
+    return I.policy_confirmed(rows.filter("policy"), rows.filter("not policy")).select("entity", "policy_docs", "companies", q(F.col("activation")).alias("activation"))
+
+
 def _chain_sql(a, b, la, lb):
     return f"""select x.entity, cast(x.c as bigint) as first_companies, cast(y.c as bigint) as second_companies, least(greatest(abs(y.d - x.d), 30), 365) as lag_days, floor(least(0.95, 0.6 + 0.05 * x.c) * least(0.95, 0.6 + 0.05 * y.c) * 100.0 * 1e4 + 0.5) / 1e4 as activation
         from (select entity, count(distinct company) as c, min(day) as d from ({_FACT}) f where signal_type = '{a}' group by 1 having count(distinct company) >= {la}) x

@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tessellar.bindings import bind, window
+from tessellar.bindings import bind, sql, window
 from tessellar.config import Config
 from tessellar.functions.scalars import first_tier, q
 from tessellar.operators import themes as T
@@ -87,6 +87,15 @@ def theme_detect_tension(spark, d):
     return rows.select("entity_slug", q(F.col("tension")).alias("tension"), q(F.col("strength")).alias("strength"), "conviction", "first_detected")
 
 
+_RAW_ROWS = "select m.doc_id, s.entity_id as source_id, s.signal_type, f.company, f.sector, e.canonical_name, e.entity_type from {signals} s join {filings} f on f.doc_id = s.doc_id join {mentions} m on m.doc_id = s.doc_id join {entities} e on e.entity_id = m.entity_id"
+
+
+@query()
+def theme_detect_raw(spark, d):
+    rows = sql(spark, d, _RAW_ROWS).withColumn("signal_id", F.xxhash64("doc_id", "source_id", "signal_type"))
+    return T.detect_raw(rows, CFG).select("theme_slug", "conviction", "n_companies", "n_docs", q(F.col("tension")).alias("tension"), q(F.col("strength")).alias("strength"))
+
+
 @query(f"""select entity_slug, rank, floor(composite * 100 + 0.5) / 100 as composite from (select slug as entity_slug, composite, row_number() over (order by composite desc, slug) as rank from (
            select slug, (0.40 * least(tension + least(capex_count * 5.0, 20.0), 100.0) + 0.25 * least(capex_count * 10.0, 100.0) + 0.20 * 50.0 + 0.10 * least(n_companies * 2.0, 40.0) + 0.05 * 50.0)
              * case conviction when 'confirmed' then 1.25 when 'developing' then 1.00 else 0.75 end * case when quarter_count >= 4 then 1.40 when quarter_count = 3 then 1.25 when quarter_count = 2 then 1.12 else 1.0 end as composite,

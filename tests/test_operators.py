@@ -352,3 +352,28 @@ def test_upsert_of_empty_strings_and_new_tables(spark):
         schema = ", ".join(f"{k} string" for k in keys) + ", strength double"
         one = lambda v: spark.createDataFrame([(*keys, v)], schema)
         assert U.upsert_table(name, one(1.0), one(0.5)).first()["strength"] == (1.0 if rules.get("strength") == "greatest" else 0.5)
+
+
+def test_detect_from_raw_rows(spark):
+    """Counts, gates, strength and conviction of the raw-row detector against a plain loop."""
+    cfg = Config()
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        name = f"Solar Grid {i % 6} X"
+        kind = rng.choice(["demand_surge", "supply_bottleneck", "capex_increase"] if i % 6 < 4 else ["inventory_buildup", "demand_surge"])
+        rows.append((i, name, "SECTOR" if i % 6 == 1 else "TECHNOLOGY", f"c{rng.randrange(30)}", f"s{i % 4}", kind, i // 2))
+    rows += [(0, *rows[0][1:]), (700, "  ", "X", "c1", "s1", "demand_surge", 1), (701, None, "X", None, None, None, None)]
+    schema = "signal_id long, canonical_name string, entity_type string, company string, sector string, signal_type string, doc_id long"
+    got = {r["name"]: r for r in TH.detect_raw(spark.createDataFrame(rows, schema), cfg).collect()}
+    assert got
+    for name, r in got.items():
+        own = {(x[0], x[5]) for x in rows if x[1] == name}
+        count = lambda *kinds: sum(k in kinds for _, k in own)
+        d, s, c = count("demand_surge", "capex_increase"), count("supply_bottleneck"), count("capex_increase")
+        assert (r["demand_count"], r["supply_count"], r["capex_count"], r["total_signals"]) == (d, s, c, len(own))
+        n, docs = len({x[3] for x in rows if x[1] == name}), len({x[6] for x in rows if x[1] == name})
+        tension = min(2.0 * d * s / (d + s) * 12, 60) if d >= cfg.min_tension_demand and s >= cfg.min_tension_supply else min(d * 4.0, 30) if c >= 2 and d >= cfg.min_early_demand else 0.0
+        assert abs(r["tension"] - tension) < 1e-9 and (r["n_companies"], r["n_docs"]) == (n, docs)
+        assert abs(r["strength"] - min(tension + min(c * 8, 30) + min(n * 2, 20) + (10 if docs >= 6 else 5), 100)) < 1e-9
+    assert TH.detect_raw(spark.createDataFrame([], schema)).count() == 0
