@@ -57,7 +57,7 @@ def hashed_embeddings(spark, d):
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n from {events} group by 1, 2")
 def stream_hourly_counts(spark, d):
-    return S.hourly_counts(spark, d)
+    return S.hourly_counts(spark, d).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("select event_type, count(*) as n from (select distinct user_id, event_type from {events}) x group by 1")
