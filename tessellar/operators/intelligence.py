@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellar.functions.scalars import clamp, jaccard, slug, tokens
+from tessellar.functions.scalars import clamp, jaccard, slug
 from tessellar.operators.graph import components
-from tessellar.operators.relational import count_if
-from tessellar.operators.text import phrase_hits, sentiment
+from tessellar.operators.pattern_tables import CAUSE_ALIASES, SLUG_STOPS, SUPPLY_TERMS, THEME_STOPS
+from tessellar.operators.relational import contains_join, count_if
+from tessellar.operators.settle import written
+from tessellar.operators.text import WORD_CUT, phrase_hits, sentiment
 
 # --- beneficiaries -----------------------------------------------------------------------
 
@@ -131,21 +133,35 @@ def adoption_pairs(facts: DataFrame, tops: int = 25, pairs: int = 60, least_firs
     return met.orderBy(F.desc("adoptions"), F.desc("demands"), "tech", "downstream").limit(pairs)
 
 
-def score_chains(links: DataFrame, active: DataFrame) -> DataFrame:
+def score_chains(links: DataFrame, active: DataFrame, aliases=CAUSE_ALIASES) -> DataFrame:
     """Share of link probability whose cause is active, in percent; under two links 0.
 
-    ``links``: chain_id, pos, cause, effect, probability; ``active``: name. A cause is active
-    if named exactly, or, for phrases, if one name holds the other.
+    ``links``: chain_id, pos, cause, effect, probability and, if at hand, score;
+    ``active``: name. A cause is active if it or an alias is named exactly, if a name
+    holds the phrase or an alias that is a phrase, or if a cause that is a phrase holds a
+    name. Phrases have two words and eight characters or more, the names they meet four.
+    Chains whose id starts with ``data-`` keep their score. Null causes are never active.
+    Causes and names are made distinct first and meet by equality or ``contains_join``.
     """
-    names = F.broadcast(active.select(F.lower("name").alias("__n")).distinct())  # names of the window's entities, a dimension
-    cause = F.lower("cause")
-    phrase = (F.size(F.split(cause, " ")) >= 2) & (F.length(cause) >= 8) & (F.length("__n") >= 4)
-    hit = (cause == F.col("__n")) | (phrase & (F.contains(F.col("__n"), cause) | F.contains(cause, F.col("__n"))))
-    marked = links.join(names, hit, "left_semi").select("chain_id", "pos").distinct().withColumn("__a", F.lit(1))
-    out = links.join(marked, ["chain_id", "pos"], "left").groupBy("chain_id").agg(
-        F.count("*").alias("depth"), F.sum("probability").alias("__all"), F.sum(F.when(F.col("__a") == 1, F.col("probability")).otherwise(0.0)).alias("__on")
+    names = active.select(F.lower("name").alias("__n")).filter("__n is not null").distinct()
+    cause = F.lower(F.trim("cause"))
+    causes = links.select(cause.alias("__c")).filter("__c is not null").distinct()
+    table = links.sparkSession.createDataFrame([(c, a) for c, many in aliases for a in many], "__c string, __f string")  # a fixed table
+    own = causes.withColumn("__f", F.col("__c"))
+    forms = own.unionByName(causes.join(F.broadcast(table), "__c"))
+    phrase = (F.size(F.split("__f", r"\s+")) >= 2) & (F.length("__f") >= 8)
+    long_names = names.filter(F.length("__n") >= 4)
+    exact = forms.join(names, F.col("__f") == F.col("__n")).select("__c")
+    inside = contains_join(long_names, "__n", forms.filter(phrase), "__f").select("__c")
+    around = contains_join(own.filter(phrase), "__f", long_names, "__n").select("__c")
+    on = exact.unionByName(inside).unionByName(around).distinct().withColumn("__a", F.lit(1))
+    kept = F.max("score") if "score" in links.columns else F.lit(None).cast("double")
+    out = links.withColumn("__c", cause).join(on, "__c", "left").groupBy("chain_id").agg(
+        F.count("*").alias("depth"), F.sum("probability").alias("__all"), F.sum(F.when(F.col("__a") == 1, F.col("probability")).otherwise(0.0)).alias("__on"), kept.alias("__kept")
     )
-    return out.select("chain_id", "depth", F.when((F.col("depth") < 2) | (F.col("__all") <= 0), 0.0).otherwise(F.col("__on") / F.col("__all") * 100.0).alias("score"))
+    mined = F.col("chain_id").cast("string").startswith("data-") & F.col("__kept").isNotNull()
+    share = F.when(F.coalesce("__all", F.lit(0.0)) <= 0, 0.0).otherwise(F.col("__on") / F.col("__all") * 100.0)
+    return out.select("chain_id", "depth", F.when(F.col("depth") < 2, 0.0).when(mined, F.col("__kept")).otherwise(share).alias("score"))
 
 
 def second_order(links: DataFrame) -> DataFrame:
@@ -236,27 +252,65 @@ def tracker_confidence(strong: Column, boosts: Column, weak: Column) -> Column:
 # --- canonical themes --------------------------------------------------------------------
 
 
+def theme_tokens(themes: DataFrame) -> DataFrame:
+    """What two themes are compared by: slug, words, parts of the slug, companies, supply terms and first day."""
+    text = F.concat_ws(" ", "name", F.substring("description", 1, 100))
+
+    def kept(column: Column, cut: str, stops: tuple[str, ...]) -> Column:
+        return F.filter(F.array_distinct(F.split(F.lower(column), cut)), lambda w: (F.length(w) >= 3) & ~w.isin(*stops))
+
+    whole = F.lower(F.concat_ws(" ", "name", "description"))
+    supply = F.filter(F.array(*[F.lit(t) for t in SUPPLY_TERMS]), lambda t: F.contains(whole, t))
+    companies = F.array_distinct(F.array_compact(F.coalesce("companies", F.array().cast("array<string>"))))
+    return themes.select("slug", kept(text, WORD_CUT, THEME_STOPS).alias("w"), kept(F.col("slug"), r"[-_\s]+", SLUG_STOPS).alias("s"), companies.alias("c"), supply.alias("p"), F.col("first_day").alias("d"))
+
+
+def theme_pairs(tokens: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a < b) that can reach the threshold, by rare tokens; none that does is missed.
+
+    Time and supply give 0.20 at most, so the three sets must give the rest of the
+    threshold, and one of them has a Jaccard index of at least rest / 0.80. Two sets that
+    alike share one of their rarest tokens, the prefix of prefix filtering: tokens are
+    ordered by rarity, and a common word meets only themes that have nothing rarer.
+    """
+    least = (threshold - 0.20) / 0.80 - 1e-9
+    if least <= 0:
+        raise ValueError("a threshold of 0.20 or less links themes that share nothing")
+    rows = None
+    for part in ("w", "s", "c"):
+        one = tokens.select("slug", F.lit(part).alias("part"), F.size(part).alias("n"), F.explode(part).alias("token"))
+        rows = one if rows is None else rows.unionByName(one)
+    uses = rows.groupBy("part", "token").agg(F.count("*").alias("uses"))
+    place = F.row_number().over(Window.partitionBy("slug", "part").orderBy("uses", "token"))
+    keys = rows.join(uses, ["part", "token"]).withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    keys = keys.select("part", "token", "slug")
+    a, b = keys.withColumnRenamed("slug", "a"), keys.withColumnRenamed("slug", "b")
+    return a.join(b, ["part", "token"]).filter("a < b").select("a", "b").distinct()
+
+
 def canonical_themes(themes: DataFrame, threshold: float = 0.65) -> DataFrame:
     """Single-linkage groups of like themes; the strongest of a group names it.
 
-    ``themes``: slug, name, description, strength, first_day, last_day, companies (array).
-    Only pairs that share a word of their names are scored, so no cross join is needed:
-    without a shared word a pair stays below the threshold (at most 0.25 + 0.10 + 0.10).
+    ``themes``: slug (unique), name, description, strength, first_day, companies (array).
+    The score is 0.35 of the words', 0.25 of the companies' and 0.20 of the slug parts'
+    Jaccard index, 0.10 for first days within 90 days (falling to none at 365; 0.5 of it
+    if one is null) and 0.10 of the supply terms' index (0.5 of it if neither has any).
+    Null texts count as empty; empty sets are alike to none.
     """
-    words = tokens(F.concat_ws(" ", "name", "description"))
-    t = themes.withColumn("__w", words).withColumn("__s", tokens(F.col("slug"))).withColumn("__key", F.explode(F.array_distinct(F.concat("__w", "__s"))))
-    cols = ["slug", "__w", "__s", "companies", "first_day", "last_day"]
-    a = t.select("__key", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = t.select("__key", *[F.col(c).alias(f"b_{c}") for c in cols])
-    pairs = a.join(b, "__key").filter("a_slug < b_slug").dropDuplicates(["a_slug", "b_slug"])
-    overlap = F.when((F.col("a_first_day") <= F.col("b_last_day")) & (F.col("b_first_day") <= F.col("a_last_day")), 1.0).otherwise(0.0)
-    score = (
-        0.35 * jaccard(F.col("a___w"), F.col("b___w"))
-        + 0.25 * jaccard(F.col("a_companies"), F.col("b_companies"))
-        + 0.20 * jaccard(F.col("a___s"), F.col("b___s"))
-        + 0.10 * overlap
-    )
-    linked = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select(F.col("a_slug").alias("src"), F.col("b_slug").alias("dst"))
+    t = written(theme_tokens(themes))
+    cols = [c for c in t.columns if c != "slug"]
+    pairs = theme_pairs(t, threshold)
+    pairs = pairs.join(t.select(F.col("slug").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols]), "a")
+    pairs = pairs.join(t.select(F.col("slug").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols]), "b")
+
+    def alike(part: str) -> Column:
+        return jaccard(F.col(f"a_{part}"), F.col(f"b_{part}"))
+
+    gap = F.abs(F.datediff("a_d", "b_d"))
+    near = F.when(gap.isNull(), 0.5).when(gap <= 90, 1.0).when(gap >= 365, 0.0).otherwise(1.0 - (gap - 90) / 275.0)
+    supply = F.when((F.size("a_p") == 0) & (F.size("b_p") == 0), 0.5).otherwise(alike("p"))
+    score = 0.35 * alike("w") + 0.25 * alike("c") + 0.20 * alike("s") + 0.10 * near + 0.10 * supply
+    linked = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = components(linked).withColumnsRenamed({"node": "slug"})
     named = themes.join(groups, "slug", "left").withColumn("component", F.coalesce("component", "slug"))
     parts = named.groupBy("component").agg(

@@ -119,3 +119,58 @@ THEME_ENTITIES = (
     ("Biotech", r"\bbiotech\b"),
     ("NBFC", r"\bnbfc\b"),
 )
+
+# Keywords of documents (entity type, confidence, words).
+LEXICON = (
+    ("TECHNOLOGY", 0.9, (
+        "AI", "Artificial Intelligence", "Machine Learning", "Deep Learning", "Semiconductor", "Chip", "GPU", "CPU", "ASIC", "Wafer", "Foundry",
+        "Electric Vehicle", "EV", "Battery", "Lithium", "Solar", "Wind", "Cloud", "Edge Computing", "5G", "6G", "Quantum Computing",
+        "Biotech", "mRNA", "Gene Therapy", "CRISPR", "Drug Discovery", "Robotics", "Automation", "IoT", "Cybersecurity", "Blockchain",
+        "Generative AI", "LLM", "Large Language Model", "Transformer", "Data Center", "HBM", "High Bandwidth Memory", "CoWoS",
+    )),
+    ("SECTOR", 0.9, (
+        "Technology", "Healthcare", "Industrials", "Energy", "Financials", "Consumer Discretionary", "Consumer Staples", "Materials",
+        "Utilities", "Real Estate", "Communication Services", "Semiconductor", "Pharma", "Defense", "Aerospace", "Automotive",
+        "NBFC", "Infrastructure", "Specialty Chemicals", "Agrochemicals", "Textiles", "Power", "Steel", "Cement", "Logistics", "EPC",
+    )),
+    ("CONCEPT", 0.85, (
+        "supply chain", "bottleneck", "shortage", "overcapacity", "capex", "capital expenditure", "demand surge", "headwind", "tailwind",
+        "inflation", "deflation", "interest rate", "monetary policy", "geopolitical", "sanctions", "tariff", "regulatory", "ESG",
+        "decarbonization", "electrification", "digitalization", "PLI scheme", "Make in India", "Atmanirbhar", "China+1",
+        "import substitution", "export opportunity", "FDA", "EPA", "FTC", "CFPB", "SEBI", "RBI", "Reserve Bank of India", "NCLT",
+        "CCI", "DPIIT", "NHAI", "TRAI", "IRDAI",
+    )),
+)
+
+# Other names of causes.
+CAUSE_ALIASES = (
+    ("artificial intelligence", ("ai", "a.i.", "ai technology")),
+    ("generative ai", ("gen ai", "genai", "llm", "large language model")),
+    ("electric vehicle", ("ev", "evs", "electric vehicles", "bev")),
+    ("data center", ("datacenter", "data centres", "data centre")),
+    ("machine learning", ("ml", "deep learning")),
+    ("semiconductor", ("chip", "chips", "microchip", "microchips", "ic")),
+    ("power demand", ("electricity demand", "power consumption", "power", "electricity", "energy demand", "grid demand")),
+    ("copper demand", ("copper", "copper supply")),
+    ("transformer shortage", ("grid transformer", "electrical transformer")),
+    ("mining capex", ("mining investment", "mine capex")),
+    ("cloud", ("cloud computing", "hyperscaler", "hyperscalers")),
+    ("cybersecurity", ("cyber security", "information security", "infosec")),
+    ("lithium", ("lithium carbonate", "lithium hydroxide", "li")),
+    ("battery", ("batteries", "battery storage", "battery pack")),
+    ("gpu", ("graphics card", "graphics processing unit")),
+    ("wafer", ("silicon wafer", "wafers")),
+)
+
+# Terms of supply chains, looked for anywhere in a theme's name and description.
+SUPPLY_TERMS = (
+    "memory", "hbm", "dram", "nand", "power", "electricity", "grid", "cooling", "chip", "semiconductor", "wafer", "substrate", "pcb",
+    "fiber", "copper", "rare earth", "lithium", "cobalt", "nickel", "transformer", "generator", "ups", "rack", "server", "networking",
+    "bandwidth", "interconnect", "packaging", "tsmc", "asml", "advanced packaging", "cowos", "chiplet", "interposer", "osat",
+    "ai accelerator", "inference chip", "hbm3", "hbm3e", "substation", "transmission", "distribution", "neodymium",
+    "dysprosium", "terbium", "critical mineral", "liquid cooling", "immersion cooling", "cold plate", "gigafactory", "cell manufacturing",
+)
+
+# Words too general to make themes alike, in texts and in slugs.
+THEME_STOPS = ("a", "an", "the", "and", "or", "of", "in", "for", "to", "is", "are", "on", "at", "by", "from", "with", "as", "via", "vs", "demand", "supply", "constraint", "theme")
+SLUG_STOPS = ("auto", "demand", "supply", "tension", "bottleneck", "surge", "capex", "buildout", "increase", "signal", "via", "downstream")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessellar.operators.pattern_tables import EVENT_PATTERNS, SIGNAL_PATTERNS, THEME_ENTITIES
+from tessellar.operators.pattern_tables import EVENT_PATTERNS, LEXICON, SIGNAL_PATTERNS, THEME_ENTITIES
 from tessellar.functions.scalars import amount, content_key, url_key
 from tessellar.operators.relational import BROADCAST_ROWS
 
@@ -69,14 +69,22 @@ def dedupe(docs: DataFrame, arrival: str, url: str = "url", text: str = "text")
     return keyed.withColumn("status", status).drop("__u", "__c", "__first")
 
 
-def keyword_entities(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lexicon_rows(spark: SparkSession, groups=LEXICON) -> DataFrame:
+    """The engine's keywords as (keyword, entity_type, confidence); one word may have several types."""
+    return spark.createDataFrame([(w, kind, c) for kind, c, words in groups for w in words], "keyword string, entity_type string, confidence double")
+
+
+def keyword_entities(docs: DataFrame, lexicon: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, keyword, entity_type) for lexicon words found as whole words, any case.
 
+    Without ``lexicon`` the engine's own (:func:`lexicon_rows`) is used.
+
     One-word keywords join the documents' distinct words; phrases are looked for in the
     documents that hold their first word, whose texts are fetched then. No document meets
     the whole lexicon, which is broadcast up to BROADCAST_ROWS rows.
     """
     words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), WORD_CUT))).alias("__w"))
+    lexicon = lexicon_rows(docs.sparkSession) if lexicon is None else lexicon
     lex = lexicon.withColumn("__k", F.lower("keyword")).withColumn("__h", F.element_at(F.split("__k", WORD_CUT), 1))
     if lex.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         lex = F.broadcast(lex)
@@ -114,37 +122,63 @@ def extract_signals(
     Spans need Python's matcher, so documents pass as Arrow batches; nothing is shuffled.
     ``most`` is tested between patterns, as part of the contract; None keeps all. Null texts have no hits.
     """
-    rules = [(k, d, c, p) for k, d, c, p in patterns if c >= least]
     columns = [f.split()[0] for f in SIGNALS.split(", ")]
+    find = signal_finder(patterns, least, most, window, near, entities)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(k, d, c, re.compile(p, re.I)) for k, d, c, p in rules]
-        money, named = re.compile(_MONEY, re.I), [(name, re.compile(p, re.I)) for name, p in entities]
+        of_text = find()
         for pdf in batches:
-            rows = []
-            for key, body in zip(pdf["doc_id"], pdf["text"], strict=True):
-                hits: list[tuple] = []
-                for k, d, c, p in compiled:
-                    for m in p.finditer(body or ""):
-                        hits.append((k, d, c, m.start(), m.end()))
-                    if most is not None and len(hits) >= most:
-                        break
-                kept: dict[str, int] = {}
-                for k, d, c, s, e in sorted(hits, key=lambda h: -h[2]):
-                    if k not in kept or abs(s - kept[k]) > near:
-                        kept[k] = s
-                        context = body[max(0, s - window) : e + window].strip()
-                        a = money.search(context)
-                        unit = (a[2] or "").lower() if a else ""
-                        about = next((name for name, p in named if p.search(context)), "")
-                        rows.append((key, len(kept), k, d, c, s, e, context, float(a[1]) * _SCALE.get(unit, 1.0) if a else None, f"USD_{unit or 'units'}" if a else None, about))
-            out = pd.DataFrame(rows, columns=columns)
-            out["seq"] = out.groupby("doc_id").cumcount()
-            yield out
+            rows = [(key, i, *hit) for key, body in zip(pdf["doc_id"], pdf["text"], strict=True) for i, hit in enumerate(of_text(body))]
+            yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null").mapInPandas(run, SIGNALS)
 
 
+def signal_finder(patterns, least: float, most: int | None, window: int, near: int, entities) -> Callable[[], Callable[[str | None], list[tuple]]]:
+    """Maker of a function from a text to its signals; workers call it, so compiled patterns are not shipped."""
+    rules = [(k, d, c, p) for k, d, c, p in patterns if c >= least]
+
+    def make() -> Callable[[str | None], list[tuple]]:
+        compiled = [(k, d, c, re.compile(p, re.I)) for k, d, c, p in rules]
+        money, named = re.compile(_MONEY, re.I), [(name, re.compile(p, re.I)) for name, p in entities]
+
+        def of_text(body: str | None) -> list[tuple]:
+            hits: list[tuple] = []
+            for k, d, c, p in compiled:
+                hits += [(k, d, c, m.start(), m.end()) for m in p.finditer(body or "")]
+                if most is not None and len(hits) >= most:
+                    break
+            kept: dict[str, int] = {}
+            out: list[tuple] = []
+            for k, d, c, s, e in sorted(hits, key=lambda h: -h[2]):
+                if k not in kept or abs(s - kept[k]) > near:
+                    kept[k] = s
+                    context = body[max(0, s - window) : e + window].strip()
+                    a = money.search(context)
+                    unit = (a[2] or "").lower() if a else ""
+                    about = next((name for name, p in named if p.search(context)), "")
+                    out.append((k, d, c, s, e, context, float(a[1]) * _SCALE.get(unit, 1.0) if a else None, f"USD_{unit or 'units'}" if a else None, about))
+            return out
+
+        return of_text
+
+    return make
+
+
+def register(spark: SparkSession) -> None:
+    """Offer ``signal_extract(text)`` in SQL: an array of structs, by the engine's patterns, as ``extract_signals`` finds them."""
+    fields = SIGNALS.split(", ")[2:]
+    find = signal_finder(SIGNAL_PATTERNS, 0.5, 100, 100, 500, THEME_ENTITIES)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of_text = find()
+        for texts in batches:
+            yield pd.Series([[dict(zip([f.split()[0] for f in fields], hit, strict=True)) for hit in of_text(body)] for body in texts], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    spark.udf.register("signal_extract", F.pandas_udf(run, "array<struct<" + ", ".join(f.replace(" ", ": ") for f in fields) + ">>"))
+
+
 EVENTS = "doc_id long, event_type string, direction string, confidence double, start int, magnitude double, unit string, context string"
 
 
@@ -182,26 +216,86 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return rows.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def search(docs: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """BM25 over the documents: doc_id and score of the k best (ties: smaller id)."""
+def totals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row (n, mean): documents and their mean number of words, empty and null ones included."""
+    length = F.size(F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_CUT), ""))
+    return docs.agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
+
+
+def _bm25(tf: Column, df: Column, length: Column, k1: float, b: float) -> Column:
+    idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5) + 1.0)
+    return idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / F.col("mean")))
+
+
+def snippet(text: Column, query: list[str], words: int = 40, before: int = 8) -> Column:
+    """``words`` words of a text from ``before`` words ahead of its first hit on, hits in <b></b>, cuts as ``...``.
+
+    Words are runs between white space; one is a hit if a word of the query stands in it.
+    Without a hit the text's start is shown; null stays null.
+    """
+    terms = F.array(*[F.lit(t.lower()) for t in query]) if query else F.array().cast("array<string>")
+
+    def is_hit(word: Column) -> Column:
+        return F.arrays_overlap(F.split(F.lower(word), WORD_CUT), terms)
+
+    whole = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    # bound once: the position needs the words, the window both
+    parts = F.transform(F.array(whole), lambda w: F.struct(w.alias("w"), F.greatest(F.array_position(F.transform(w, is_hit), True) - before, F.lit(1)).cast("int").alias("at")))
+
+    def cut(p: Column) -> Column:
+        shown = F.transform(F.slice(p["w"], p["at"], words), lambda w: F.when(is_hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+        return F.concat(F.when(p["at"] > 1, "...").otherwise(""), F.array_join(shown, " "), F.when(F.size(p["w"]) >= p["at"] + words, "...").otherwise(""))
+
+    return F.when(text.isNotNull(), F.transform(parts, cut)[0])
+
+
+def search(
+    docs: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, doc_id: str = "doc_id", text: str = "text", every: bool = False, words: int | None = None
+) -> DataFrame:
+    """BM25 over the documents: doc_id and score of the k best (ties: smaller id).
+
+    ``every`` keeps documents that hold all words of the query; ``words`` adds a snippet
+    of that many words, made after the k best are known.
+    """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))  # not null, else null tests repeat the split
-    rows = docs.select(F.col(doc_id).alias("doc_id"), low.alias("__t"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), low.alias("__t"), *([F.col(text).alias("__text")] if words else []))
 
     def counted(part: DataFrame) -> DataFrame:
         part = part.withColumn("__w", F.array_remove(F.split("__t", WORD_CUT), ""))
-        return part.select("doc_id", F.size("__w").alias("length"), *[(F.size("__w") - F.size(F.array_remove("__w", t.lower()))).alias(f"tf{i}") for i, t in enumerate(query)])
+        return part.withColumn("length", F.size("__w")).withColumns({f"tf{i}": F.size("__w") - F.size(F.array_remove("__w", t.lower())) for i, t in enumerate(query)}).drop("__w", "__t")
 
     stats = counted(rows).agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(query))])
-    may_hit = F.lit(False)
+    may_hit = F.lit(every)
     for t in query:
-        may_hit = may_hit | F.contains("__t", F.lit(t.lower()))
-    score = F.lit(0.0)
+        may_hit = may_hit & F.contains("__t", F.lit(t.lower())) if every else may_hit | F.contains("__t", F.lit(t.lower()))
+    score, all_met = F.lit(0.0), F.lit(True)
     for i in range(len(query)):
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double")
-        idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5) + 1.0)
-        score = score + idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("length") / F.col("mean")))
+        score = score + _bm25(F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double"), F.col("length"), k1, b)
+        all_met = all_met & (F.col(f"tf{i}") > 0)
     hits = counted(rows.filter(may_hit)).crossJoin(F.broadcast(stats)).withColumn("score", score).filter("score > 0")
-    return hits.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(k)
+    best = (hits.filter(all_met) if every else hits).orderBy(F.desc("score"), "doc_id").limit(k)
+    return best.select("doc_id", "score", *([snippet(F.col("__text"), query, words).alias("snippet")] if words else []))
+
+
+def search_postings(index: DataFrame, total: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, every: bool = False) -> DataFrame:
+    """The answer of :func:`search` from stored :func:`postings` and :func:`totals`: only the rows of the query's words are read.
+
+    Document ids must be unique. Terms of the query are few, so their counts are broadcast.
+    """
+    uses = {t: [q.lower() for q in query].count(t) for t in {q.lower() for q in query}}
+    rows = index.filter(F.col("term").isin(*uses))
+    counts = rows.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # one row for a word of the query
+    times = F.element_at(F.create_map(*[F.lit(x) for t, n in uses.items() for x in (t, float(n))]), F.col("term")) if uses else F.lit(0.0)
+    scored = rows.join(F.broadcast(counts), "term").crossJoin(F.broadcast(total))
+    scored = scored.withColumn("score", times * _bm25(F.col("tf").cast("double"), F.col("df"), F.col("length"), k1, b))
+    met = scored.groupBy("doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("terms"))
+    return met.filter(F.col("terms") >= (len(uses) if every else 1)).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def search_phrase(docs: DataFrame, phrase: str, latest: str, k: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents that hold the phrase anywhere, any case, the latest first (ties: smaller id): search without an index."""
+    held = docs.filter(F.contains(F.lower(F.col(text)), F.lit(phrase.lower())))
+    return held.orderBy(F.desc_nulls_last(latest), doc_id).limit(k)
 
 
 # Element names whose content is no text.

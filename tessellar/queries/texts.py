@@ -9,6 +9,7 @@ from tessellar.functions import scalars as S
 from tessellar.operators import intelligence as I
 from tessellar.operators import text as T
 from tessellar.operators import vectors as V
+from tessellar.operators.pattern_tables import LEXICON
 from tessellar.queries import query
 
 
@@ -48,6 +49,15 @@ def keyword_entities(spark, d):
     return T.keyword_entities(bind(spark, d, "documents"), spark.sql(_LEX))
 
 
+_OWN = "select * from (values " + ", ".join(f"('{w}', '{kind}')" for kind, _, words in LEXICON for w in words) + ") t(keyword, entity_type)"
+
+
+@query(f"""select distinct doc_id, keyword, entity_type from {{documents}}, ({_OWN}) l where list_contains(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lower(keyword))
+           or (regexp_matches(keyword, '[^A-Za-z0-9]') and regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || replace(lower(keyword), '+', '\\+') || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])'))""")
+def lexicon_entities(spark, d):
+    return T.keyword_entities(bind(spark, d, "documents"))
+
+
 @query("select doc_id, substr(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: length(l) > 5)[1], 1, 200) as title from {documents}")
 def title_extract(spark, d):
     return bind(spark, d, "documents").select("doc_id", T.title(F.col("text")).alias("title"))
@@ -65,6 +75,18 @@ def search_bm25(spark, d):
     return out.select("doc_id", S.q(F.col("score"), 6).alias("score"))
 
 
+@query(_BM25)
+def search_index(spark, d):
+    docs = bind(spark, d, "documents")
+    out = T.search_postings(T.postings(docs), T.totals(docs), ["thea", "license"])
+    return out.select("doc_id", S.q(F.col("score"), 6).alias("score"))
+
+
+@query("""select doc_id, n_chars from {documents} where contains(lower(text), 'licensed under') order by n_chars desc nulls last, doc_id limit 20""")
+def search_without_index(spark, d):
+    return T.search_phrase(bind(spark, d, "documents"), "Licensed under", "n_chars").select("doc_id", "n_chars")
+
+
 @query("""select term, cast(count(*) as bigint) as documents, cast(sum(tf) as bigint) as uses from (select doc_id, t as term, count(*) as tf from (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) as t from {documents}) a group by 1, 2) b group by 1 having count(*) >= 50""")
 def postings(spark, d):
     rows = T.postings(bind(spark, d, "documents"))

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,49 @@ def test_keyword_entities_and_search(spark):
     assert {(r["doc_id"], r["keyword"]) for r in T.keyword_entities(docs, lex).collect()} == {(1, "AI"), (1, "power grid"), (1, "éa")}
     hits = T.search(docs, ["power"]).collect()
     assert [r["doc_id"] for r in hits] == [2, 1]
+    assert [r["doc_id"] for r in T.search(docs, ["power", "AI"], every=True).collect()] == [1]
+    own = spark.createDataFrame([(1, "China+1 and 5G, ai_x; an EV; semiconductor"), (2, ""), (3, None), (4, "China + 1 datacenter")], "doc_id int, text string")
+    found = {(r["doc_id"], r["keyword"], r["entity_type"]) for r in T.keyword_entities(own).collect()}
+    assert found == {(1, "China+1", "CONCEPT"), (1, "5G", "TECHNOLOGY"), (1, "EV", "TECHNOLOGY"), (1, "Semiconductor", "TECHNOLOGY"), (1, "Semiconductor", "SECTOR")}
+    assert T.lexicon_rows(spark).groupBy("entity_type").count().sort("entity_type").collect() == [("CONCEPT", 40), ("SECTOR", 26), ("TECHNOLOGY", 40)]
+
+
+def test_index_search_equals_search_and_snippets(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["grid", "Power,", "ai", "coal", "sun-power", "ore"]) for _ in range(rng.randrange(30))) for _ in range(60)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    index, total = T.postings(docs), T.totals(docs)
+    for query in (["power"], ["power", "AI"], ["ai", "ai"], ["absent"], []):
+        for every in (False, True):
+            a = [(r["doc_id"], round(r["score"], 9)) for r in T.search(docs, query, every=every).collect()]
+            b = [(r["doc_id"], round(r["score"], 9)) for r in T.search_postings(index, total, query, every=every).collect()]
+            assert sorted(a) == sorted(b), (query, every)
+    one = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)) + " Power, grid " + "z " * 60)], "doc_id int, text string")
+    got = T.search(one, ["power"], words=12).first()["snippet"]
+    assert got == "..." + " ".join(f"w{i}" for i in range(12, 20)) + " <b>Power,</b> grid z z..."
+    plain = one.select(T.snippet(F.lit("a b"), ["x"]).alias("none"), T.snippet(F.lit(None).cast("string"), ["x"]).alias("null"), T.snippet(F.lit(""), ["x"]).alias("empty")).first()
+    assert tuple(plain) == ("a b", None, "")
+    assert [r["doc_id"] for r in T.search_phrase(one.withColumn("day", F.lit(1)), "POWER, GRID", "day").collect()] == [1]
+
+
+def test_signals_in_sql(spark):
+    T.register(spark)
+    docs = spark.createDataFrame([(1, "record demand for solar of $3 billion"), (2, None), (3, "")], "doc_id long, text string")
+    docs.createOrReplaceTempView("signal_docs")
+    rows = spark.sql("select doc_id, s.* from (select doc_id, inline_outer(signal_extract(text)) as (signal_type, direction, confidence, start, end, context, value, unit, entity) from signal_docs) s where signal_type is not null").collect()
+    want = [tuple(r[c] for c in ("doc_id", "signal_type", "start", "value", "entity")) for r in T.extract_signals(docs).collect()]
+    assert sorted((r["doc_id"], r["signal_type"], r["start"], r["value"], r["entity"]) for r in rows) == sorted(want) and want
+
+
+def test_chain_aliases(spark):
+    links = [("a", 0, "Artificial Intelligence", 0.5), ("a", 1, "coal", 0.5), ("b", 0, "power demand", 0.6), ("b", 1, " Mining Capex ", 0.4), ("c", 0, "ai", 1.0),
+             ("d", 0, "solar panel glass", 0.7), ("d", 1, "tin", 0.3), ("data-e", 0, "coal", 0.5), ("data-e", 1, "coal", 0.5), ("f", 0, None, 0.5), ("f", 1, "x", 0.5)]
+    df = spark.createDataFrame([(*r, 77.0 if r[0].startswith("data-") else None) for r in links], "chain_id string, pos int, cause string, probability double, score double")
+    active = spark.createDataFrame([("AI",), ("new mining investment",), ("panel",), ("Electricity Demand growth",), ("tin ore",), (None,)], "name string")
+    got = {r["chain_id"]: round(r["score"], 6) for r in I.score_chains(df, active).collect()}
+    assert got == {"a": 50.0, "b": 100.0, "c": 0.0, "d": 70.0, "data-e": 77.0, "f": 0.0}
+    none = {r["chain_id"]: r["score"] for r in I.score_chains(df.drop("score"), active.limit(0)).collect()}
+    assert set(none.values()) == {0.0} and len(none) == 6
 
 
 def test_word_shapes_and_names(spark):
@@ -231,6 +275,48 @@ def test_canonical_chain(spark):
     assert {got[s]["canonical_slug"] for s in ("power-grid", "power-grid-rush", "grid-rush")} == {"power-grid-rush"} and got["cloud"]["is_canonical"] and len(got["cloud"]["cluster_id"]) == 16
 
 
+def test_canonical_themes_equal_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["power", "grid", "build", "rush", "cloud", "software", "lithium", "ore", "the", "demand", "rare", "earth"]
+    rows = []
+    for i in range(90):
+        name = " ".join(rng.sample(words, rng.randrange(0, 4)))
+        about = rng.choice([None, "", " ".join(rng.sample(words, 2)), "power grid build"])
+        rows.append((f"{name.replace(' ', '-')}-auto-{i % 7}x{i}", name, about, float(rng.randrange(9)), rng.choice([None, dt.date(2023, 1, 1), dt.date(2023, 7, 1), dt.date(2024, 7, 1)]), rng.choice([None, [], ["a"], ["a", "b"], ["b", "a", "z"]])))
+    df = spark.createDataFrame(rows, "slug string, name string, description string, strength double, first_day date, companies array<string>")
+
+    def jac(x, y):
+        return len(x & y) / len(x | y) if x | y else 0.0
+
+    def score(p, q):
+        def text(r):
+            return {w for w in re.split(r"\W+", f"{r[1]} {(r[2] or '')[:100]}".lower()) if len(w) >= 3} - set(I.THEME_STOPS)
+
+        def parts(r):
+            return {w for w in re.split(r"[-_\s]+", r[0]) if len(w) >= 3} - set(I.SLUG_STOPS)
+
+        def supply(r):
+            return {t for t in I.SUPPLY_TERMS if t in f"{r[1]} {r[2] or ''}".lower()}
+
+        gap = abs((p[4] - q[4]).days) if p[4] and q[4] else None
+        near = 0.5 if gap is None else 1.0 if gap <= 90 else 0.0 if gap >= 365 else 1 - (gap - 90) / 275
+        chain = 0.5 if not supply(p) and not supply(q) else jac(supply(p), supply(q))
+        return 0.35 * jac(text(p), text(q)) + 0.25 * jac(set(p[5] or []), set(q[5] or [])) + 0.2 * jac(parts(p), parts(q)) + 0.1 * near + 0.1 * chain
+
+    for threshold in (0.45, 0.65):
+        group = {r[0]: r[0] for r in rows}
+        for p in rows:
+            for q in rows:
+                s = score(p, q)
+                if p[0] < q[0] and s >= threshold and group[p[0]] != group[q[0]]:
+                    old, new = group[q[0]], group[p[0]]
+                    group = {k: new if v == old else v for k, v in group.items()}
+        got = {r["slug"]: r["cluster_id"] for r in I.canonical_themes(df, threshold).collect()}
+        assert len(got) == len(rows)
+        assert {frozenset(k for k in got if got[k] == c) for c in got.values()} == {frozenset(k for k in group if group[k] == c) for c in group.values()}
+        assert I.theme_pairs(I.theme_tokens(df), 0.65).count() < 90 * 89 / 2
+
+
 def test_themes_replay_has_no_leakage(spark):
     rng = random.Random(2)
     days = [dt.date(2023, 1, 1) + dt.timedelta(days=9 * i) for i in range(80)]
