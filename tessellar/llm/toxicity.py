@@ -1,8 +1,8 @@
 """Toxicity with a linear-chain conditional random field.
 
 Tokens are runs of letters. Training starts from documents marked toxic or not: word and
-word-beginning features far more frequent in toxic documents label the tokens of toxic
-documents that carry them; all other tokens are labelled clean. A two-state chain is
+word-beginning features surely more frequent in toxic documents (a bound on chance over all
+features tested) label the tokens of toxic documents that carry them; all other tokens are labelled clean. A two-state chain is
 fitted to these labelled tokens by its conditional likelihood. Forward and backward
 passes, run as ratios of the two states over many documents at once, give each token's
 marginal; a document's score is a logistic function, fitted on the training documents,
@@ -36,6 +36,8 @@ from tessellar.llm.common import crc_bucket, plain, ship, slices, small_batches,
 MAX_TOXIC, MAX_CLEAN = 800, 1600
 MAX_CHARS = 12_000
 STRETCH = 400
+#: Expected number of features that are marked by chance alone.
+CHANCE = 0.05
 PREFIXES = (3, 4, 5, 6, 7)
 MAX_FEATURES = 40_000
 STEPS = 25
@@ -127,14 +129,26 @@ def marginals(rows: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _evidence(c1: int, c0: int, n1: int, n0: int) -> float:
+    """How surely a feature met in ``c1`` toxic and ``c0`` clean documents is no chance (Chernoff: the chance is at most exp of minus this)."""
+    n, q = c1 + c0, n1 / (n1 + n0)
+    return c1 * math.log(c1 / (n * q)) + (c0 * math.log(c0 / (n * (1 - q))) if c0 else 0.0)
+
+
 def _mark(ids: list[np.ndarray], of_word: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Features far more frequent in toxic documents than in clean ones."""
+    """Features far more frequent in toxic documents than in clean ones, and not by chance.
+
+    Of many thousand rare words some stand in toxic documents only, by chance; CHANCE is the
+    number of such features let in, over all tested. Where a small sample makes no feature
+    that sure, the surest are taken.
+    """
     seen = (Counter(), Counter())
     for row, y in zip(ids, toxic, strict=True):
         seen[y].update({f for w in np.unique(row).tolist() for f in of_word[w]})
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-    least = max(4, 0.01 * n1)
-    return {f for f, c in seen[1].items() if c >= least and (c + 0.5) / (n1 + 1) > 4.0 * (seen[0][f] + 0.5) / (n0 + 1)}
+    sure = {f: _evidence(c, seen[0][f], n1, n0) for f, c in seen[1].items() if c >= 2 and (c + 0.5) / (n1 + 1) > 4.0 * (seen[0][f] + 0.5) / (n0 + 1)}
+    least = min(math.log(len(seen[0] | seen[1]) / CHANCE), max(sure.values(), default=0.0)) if sure else 0.0
+    return {f for f, e in sure.items() if e >= least}
 
 
 def train(texts: list[str], toxic: list[bool], share: float, steps: int = STEPS) -> Chain | None:

@@ -61,6 +61,18 @@ def test_marginals_equal_enumeration():
         assert np.allclose(m, want / mass)
 
 
+def test_toxic_marks_are_not_chance():
+    rng = random.Random(3)
+    vocabulary = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(4000)] + ["zzztox"]
+    rows = [np.array([rng.randrange(4000) for _ in range(30)] + [4000] * (i % 3 == 0 and i % 12 != 0)) for i in range(900)]
+    of_word = [toxicity.features(w) for w in vocabulary]
+    marks = toxicity._mark(rows, of_word, [i % 3 == 0 for i in range(900)])
+    assert {"zzztox", "^zzzto"} <= marks and all(m.lstrip("^").startswith("zzz") for m in marks)
+    few = toxicity._mark(rows[:6], of_word, [i % 3 == 0 for i in range(6)])
+    assert isinstance(few, set)
+    assert toxicity._evidence(8, 0, 1, 2) < toxicity._evidence(9, 0, 1, 2) and toxicity._evidence(2, 4, 1, 2) == 0
+
+
 def test_toxicity_held_out_and_edges(spark):
     rng = random.Random(4)
     bad, good = ["grubble", "snarfle", "wozzle"], ["".join(rng.choice("abcdeghi") for _ in range(5)) for _ in range(200)]
