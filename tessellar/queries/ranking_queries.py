@@ -9,6 +9,7 @@ from tessellar.functions.scalars import amount, q
 from tessellar.operators import intelligence as I
 from tessellar.operators import ranking as K
 from tessellar.queries import AS_OF, as_of_day, query
+from tessellar.sources import static_tables as ST
 
 
 _THEMES = "select theme, 'confirmed' as conviction, max(company_count) as company_count, case when theme like 'machinery%' then theme || ' shortage' when theme like 'furniture%' then theme || ' wafer' else theme end as name from {snapshots} group by 1"
@@ -276,6 +277,35 @@ def capacity_gap(spark, d):
     return rows.select("sector", "component", q(F.col("gap")).alias("gap"), "severity")
 
 
+def _values(rows, names: str) -> str:
+    def word(v) -> str:
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return "select * from (values " + ", ".join("(" + ", ".join(word(v) for v in r) + ")" for r in rows) + f") t({names})"
+
+
+_POLICY_GOALS = _values([(t[1], t[2], t[3]) for t in ST.POLICY_TARGETS], "sector, metric, value")
+_NEEDS, _MADE = _values(ST.CAPACITY_RATIOS, "sector, component, ratio"), _values(ST.DOMESTIC_CAPACITY, "component, capacity")
+
+
+@query(f"""select sector, metric, component, floor((cast(value as double) * cast(ratio as double) - cast(capacity as double)) * 1e4 + 0.5) / 1e4 as gap from ({_POLICY_GOALS}) t join ({_NEEDS}) c using (sector) join ({_MADE}) h using (component) where cast(value as double) * cast(ratio as double) > capacity""")
+def policy_capacity_gap(spark, d):
+    rows = I.capacity_gaps(ST.policy_targets(spark), ST.capacity_ratios(spark), ST.domestic_capacity(spark))
+    return rows.select("sector", "metric", "component", q(F.col("gap")).alias("gap"))
+
+
+_IMPORTS = _values(ST.IMPORT_DEPENDENCIES, "sector, component, share, value_bn, substitutable, horizon_years")
+_SCHEMES = _values([(sector, scheme) for sector, many in ST.INCENTIVE_SCHEMES for scheme in many], "sector, scheme")
+
+
+@query(f"""select sector, component, cast(n as bigint) as schemes, case when share >= 0.85 then 'critical' when share >= 0.65 then 'high' else 'moderate' end as risk,
+           floor((0.35 * cast(share as double) + 0.25 * least(n / 4.0, 1.0) + 0.20 * greatest(0.0, 1.0 - horizon_years / 10.0) + 0.20 * least(cast(value_bn as double) / 5.0, 1.0)) * 1e4 + 0.5) / 1e4 as score
+           from ({_IMPORTS}) i join (select sector, count(*) as n from ({_SCHEMES}) s group by 1) k using (sector) where share >= 0.60 and substitutable""")
+def import_replacement(spark, d):
+    rows = I.localization(ST.import_dependencies(spark), ST.incentive_schemes(spark))
+    return rows.select("sector", "component", "schemes", I.import_risk(F.col("share")).alias("risk"), q(F.col("score")).alias("score"))
+
+
 @query("""select s_suppkey, share, case when share >= 0.85 then 'critical' when share >= 0.65 then 'high' else 'moderate' end as risk, floor((0.35 * share + 0.25 * least(n / 4.0, 1.0) + 0.20 * greatest(0.0, 1.0 - h / 10.0) + 0.20 * least(v / 5.0, 1.0)) * 1e4 + 0.5) / 1e4 as score
           from (select s_suppkey, s_nationkey, cast((s_suppkey * 37) % 100 as double) / 100.0 as share, s_suppkey % 12 as h, s_suppkey % 9 as v from {supplier}) s join (select n_regionkey, n_nationkey, count(*) over (partition by n_regionkey) as n from {nation}) x on x.n_nationkey = s.s_nationkey where share >= 0.60""")
 def localization_score(spark, d):
