@@ -52,8 +52,9 @@ def keyword_entities(spark, d):
 _OWN = "select * from (values " + ", ".join(f"('{w}', '{kind}')" for kind, _, words in LEXICON for w in words) + ") t(keyword, entity_type)"
 
 
-@query(f"""select distinct doc_id, keyword, entity_type from {{documents}}, ({_OWN}) l where list_contains(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lower(keyword))
-           or (regexp_matches(keyword, '[^A-Za-z0-9]') and regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || replace(lower(keyword), '+', '\\+') || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])'))""")
+@query(f"""select distinct doc_id, keyword, entity_type from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+')) as w from {{documents}}) x join ({_OWN}) l on w = lower(keyword)
+           union select doc_id, keyword, entity_type from {{documents}}, ({_OWN}) l where regexp_matches(keyword, '[^A-Za-z0-9]') and case when contains(lower(text), lower(keyword))
+           then regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || replace(lower(keyword), '+', '\\+') || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') else false end""")
 def lexicon_entities(spark, d):
     return T.keyword_entities(bind(spark, d, "documents"))
 
