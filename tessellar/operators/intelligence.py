@@ -378,7 +378,7 @@ def import_risk(share: Column) -> Column:
 def localization(dependencies: DataFrame, schemes: DataFrame, least_share: float = 0.60) -> DataFrame:
     """Opportunity score of replaceable imports in sectors with incentives."""
     n = schemes.groupBy("sector").agg(F.count("*").alias("schemes"))
-    rows = dependencies.filter((F.col("share") >= least_share) & F.col("substitutable")).join(F.broadcast(n), "sector")
+    rows = dependencies.filter((F.col("share") >= least_share) & F.col("substitutable")).join(n, "sector")
     score = (
         0.35 * F.col("share")
         + 0.25 * F.least(F.col("schemes") / 4.0, F.lit(1.0))

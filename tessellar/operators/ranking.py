@@ -136,7 +136,7 @@ def edges(pool: DataFrame, beneficiaries: DataFrame, counts: DataFrame, edge_lea
     if "total_signals" not in beneficiaries.columns:
         b = b.withColumn("total_signals", F.col("total"))
     most = b.agg(F.greatest(F.max("signal_count"), F.lit(1)).alias("__ms"), F.greatest(F.max("mention_count"), F.lit(2)).alias("__mm"))
-    b = b.crossJoin(F.broadcast(most)).withColumn("hop", hop(F.col("rank_in_theme"))).filter("hop <= 3 or hop = 4")
+    b = b.crossJoin(F.broadcast(most)).withColumn("hop", hop(F.col("rank_in_theme")))
     stored = F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv]), F.lower("role"))
     s, f, d = F.col("supply_n"), F.col("benefit_n"), F.col("direct_n")
     by_signal = F.when(s + f + d == 0, None).when((s >= f) & (s >= d), "supply").when(f >= d, "beneficiary").otherwise("direct")

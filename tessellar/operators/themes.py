@@ -307,10 +307,10 @@ def downstream(primaries: DataFrame, mentions: DataFrame, supply: DataFrame, sha
     ``share`` of the primary's filings (and in two).
     """
     p = primaries.select(F.col("entity_id").alias("primary_id"), F.col("n_docs").alias("primary_docs"))
-    docs = mentions.join(F.broadcast(p.select("primary_id")), F.col("entity_id") == F.col("primary_id")).select("primary_id", "doc_id").distinct()
+    docs = mentions.join(p.select("primary_id"), F.col("entity_id") == F.col("primary_id")).select("primary_id", "doc_id").distinct()
     pairs = docs.join(mentions, "doc_id").filter("entity_id <> primary_id")
     met = pairs.groupBy("primary_id", "entity_id").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("company").alias("companies"))
-    met = met.join(F.broadcast(p), "primary_id").filter(F.col("docs") >= F.greatest(F.lit(2.0), F.col("primary_docs") * share))
+    met = met.join(p, "primary_id").filter(F.col("docs") >= F.greatest(F.lit(2.0), F.col("primary_docs") * share))
     out = met.join(supply.filter("supply_signals >= 2"), "entity_id").withColumn("cooccur_pct", F.col("docs") / F.col("primary_docs") * 100.0)
     order = Window.partitionBy("primary_id").orderBy(F.desc("supply_signals"), F.desc("docs"), "entity_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).withColumn("rank", F.col("rank").cast("bigint"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessellar.functions.scalars import cosine
 from tessellar.operators.relational import top_k
+from tessellar.operators.settle import written
 from tessellar.operators.text import chunks
 
 
@@ -52,18 +53,26 @@ MAX_QUERIES = 1000
 
 
 def exact_topk(df: DataFrame, key: str, embedding: str, queries: DataFrame, k: int = 20, least: float | None = None) -> DataFrame:
-    """query, key, score and rank of the k most similar rows by cosine, for a checked small set of queries (query, vector).
+    """query, key, score and rank of the k most similar rows by cosine, for a stated set of queries (query, vector).
 
-    One scan; each task keeps k rows a query before the shuffle. Scores are compared to nine digits, ties by key.
+    The queries meet the rows in blocks of about MAX_QUERIES, each block is broadcast and
+    takes one scan; a task keeps k rows a query before the shuffle. Scores are compared to
+    nine digits, ties by key. Rows of one query id belong to one query.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"over {MAX_QUERIES} queries")
-    rows = df.select(F.col(key).alias("key"), F.col(embedding).alias("e")).crossJoin(F.broadcast(queries.select("query", "vector")))
-    rows = rows.withColumn("score", cosine(F.col("vector"), F.col("e"))).filter("score is not null")
-    if least is not None:
-        rows = rows.filter(F.col("score") >= least)
-    rows = rows.select("query", "key", "score", F.floor(F.col("score") * 1e9).alias("o"))
-    return top_k(rows, ["query"], k, F.desc("o"), F.col("key")).drop("o")
+    queries = queries.select("query", "vector")
+    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    if blocks > 1:
+        queries = written(queries)
+    rows = df.select(F.col(key).alias("key"), F.col(embedding).alias("e"))
+    out = None
+    for i in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) if blocks > 1 else queries
+        met = rows.crossJoin(F.broadcast(part)).withColumn("score", cosine(F.col("vector"), F.col("e"))).filter("score is not null")
+        if least is not None:
+            met = met.filter(F.col("score") >= least)
+        best = top_k(met.select("query", "key", "score", F.floor(F.col("score") * 1e9).alias("o")), ["query"], k, F.desc("o"), F.col("key")).drop("o")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def kmeans(df: DataFrame, key: str, embedding: str, k: int, seed: int = 42) -> DataFrame:

@@ -108,7 +108,7 @@ def source_companies(spark, d):
     f = bind(spark, d, "filings")
     themes = bind(spark, d, "snapshots").filter("theme like 'machinery%'").select("theme").distinct()
     names = R.contains_join(themes, "theme", f.select("sector").distinct(), "sector")
-    return f.join(F.broadcast(names), "sector").groupBy("theme", "company").agg(
+    return f.join(names, "sector").groupBy("theme", "company").agg(
         F.count("*").alias("docs"), F.min("filed_at").alias("first_mention"), F.max("filed_at").alias("last_mention"), F.countDistinct("filing_type").alias("filing_types")
     )
 

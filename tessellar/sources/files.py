@@ -37,8 +37,8 @@ def pages(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
     return rows.withColumn("text", html_text(F.col("html")))
 
 
-def pdf_pages(spark: SparkSession, path: str, most_pages: int = 500) -> DataFrame:
-    """path and text of PDF files; needs a PDF library on the executors (an optional adapter).
+def pdf_pages(spark: SparkSession, path: str, most_pages: int | None = 500) -> DataFrame:
+    """path and text of PDF files, of the first ``most_pages`` pages (None: all); needs a PDF library on the executors (an optional adapter).
 
     A missing library, an unreadable file or a missing path part gives null text, never an error.
     """

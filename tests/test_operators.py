@@ -208,6 +208,16 @@ def test_signals_in_sql(spark):
     assert sorted((r["doc_id"], r["signal_type"], r["start"], r["value"], r["entity"]) for r in rows) == sorted(want) and want
 
 
+def test_exact_search_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(80)] + [(80, None), (81, [0.0] * 6)], "vec_id long, e array<double>")
+    asked = df.filter("vec_id < 25").select(F.col("vec_id").alias("query"), F.col("e").alias("vector"))
+    whole = sorted(tuple(r) for r in V.exact_topk(df, "vec_id", "e", asked, 5).collect())
+    monkeypatch.setattr(V, "MAX_QUERIES", 7)
+    assert sorted(tuple(r) for r in V.exact_topk(df, "vec_id", "e", asked, 5).collect()) == whole and len(whole) == 125
+    assert V.exact_topk(df, "vec_id", "e", asked.limit(0), 5).count() == 0
+
+
 def test_chain_aliases(spark):
     links = [("a", 0, "Artificial Intelligence", 0.5), ("a", 1, "coal", 0.5), ("b", 0, "power demand", 0.6), ("b", 1, " Mining Capex ", 0.4), ("c", 0, "ai", 1.0),
              ("d", 0, "solar panel glass", 0.7), ("d", 1, "tin", 0.3), ("data-e", 0, "coal", 0.5), ("data-e", 1, "coal", 0.5), ("f", 0, None, 0.5), ("f", 1, "x", 0.5)]
