@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -473,3 +474,38 @@ def test_detect_from_raw_rows(spark):
         assert abs(r["tension"] - tension) < 1e-9 and (r["n_companies"], r["n_docs"]) == (n, docs)
         assert abs(r["strength"] - min(tension + min(c * 8, 30) + min(n * 2, 20) + (10 if docs >= 6 else 5), 100)) < 1e-9
     assert TH.detect_raw(spark.createDataFrame([], schema)).count() == 0
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files written so far."""
+    return sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(spark._jsc.sc().statusStore().executorList(False)))
+
+
+def test_lsh_with_coarse_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)).astype("float32")
+    x[100:400] = x[100]  # many copies, whose ties go to the smaller key
+    x[7] = 0
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "k long, e array<float>").repartition(4)
+    search = lambda: sorted((r["query_id"], r["rank"], r["neighbour_id"], r["score"] is None, r["score"] or 0.0) for r in V.lsh_neighbours(df, "k", "e", k=5, width=20.0).collect())
+    before = _shuffled(spark)
+    got = search()
+    assert _shuffled(spark) - before < 3_000_000  # the table's own size a few times, not a row for each pair
+    want = []
+    y = x.astype("float64")
+    for q in range(0, 1500, 20):
+        size = np.sqrt((y[q] ** 2).sum()) * np.sqrt((y**2).sum(1))
+        s = (y @ y[q]) / np.where(size == 0, 1, size)
+        order = sorted((size[i] == 0, -round(s[i], 9), i) for i in range(1500) if i != q)[:5]
+        want += [(q, rank, i) for rank, (_, _, i) in enumerate(order, 1)]
+    assert [g[:3] for g in got] == want
+    for name, value in (("BLOCK_ROWS", 200), ("BLOCK_QUERIES", 20), ("BATCH_QUERIES", 7)):
+        monkeypatch.setattr(V, name, value)
+    assert search() == got
+    monkeypatch.setattr(V, "PAIRS_A_ROW", 10**9)
+    assert search() == got
+
+
+def test_lsh_leaves_out_nulls(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, None), (None, [1.0, 2.0])], "k long, e array<double>")
+    assert [(r["query_id"], r["neighbour_id"]) for r in V.lsh_neighbours(df, "k", "e", width=9.0, tables=20).collect()] == [(0, 1)]
