@@ -39,9 +39,14 @@ def normalize(text: Column, least: int = 50) -> Column:
     return F.when(F.length(out) >= least, out)
 
 
+#: Space separators (Unicode class Zs), which close a title's line; tabs and the like stay.
+BLANKS = "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+
+
 def title(text: Column) -> Column:
-    """First non-empty line of more than five characters, cut at 200."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    """First line of more than five characters without blanks at its ends, cut at 200."""
+    # a lambda of one argument: trim's second would get the line's number as characters to strip
+    lines = F.transform(F.split(text, "\n"), lambda l: F.trim(l, F.lit(BLANKS)))
     return F.substring(F.try_element_at(F.filter(lines, lambda l: F.length(l) > 5), F.lit(1)), 1, 200)
 
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from tessellar.operators import themes as TH
 from tessellar.operators import upsert as U
 from tessellar.operators import vectors as V
 from tessellar.operators import windows as W
+from tessellar import queries as Q
 from tessellar.plans import cli, lifecycle, packages
 from tessellar.sources import files, sinks
 from tessellar.streaming import ingest
@@ -509,3 +511,15 @@ def test_lsh_with_coarse_buckets(spark, monkeypatch):
 def test_lsh_leaves_out_nulls(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, None), (None, [1.0, 2.0])], "k long, e array<double>")
     assert [(r["query_id"], r["neighbour_id"]) for r in V.lsh_neighbours(df, "k", "e", width=9.0, tables=20).collect()] == [(0, 1)]
+
+
+def test_title_strips_blanks_and_no_digits(spark):
+    texts = ["0997 lines open with a digit 0", "x\n1 second line 1", "  six ch  ", "\u3000\u00a0wide blanks\u2003", "\ttab line\t\r\nmore text", "123456", "     5     \n\u2003ab\u2003\n  sixsix", "0" * 300, "e\u0301\U0001f469\u200dabc", "a\nb", "", None]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [*enumerate(texts)])
+    want = con.execute(Q.ORACLES["title_extract"] + " order by doc_id").fetchall()
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = [(r["doc_id"], r["t"]) for r in rows.select("doc_id", T.title(F.col("text")).alias("t")).orderBy("doc_id").collect()]
+    assert got == want
+    assert got[0][1] == texts[0] and got[1][1] == "1 second line 1" and got[3][1] == "wide blanks" and got[11][1] is None
